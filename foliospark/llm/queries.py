@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.bpe import bpe_encode
+from foliospark.llm.packing import pack
+from foliospark.llm.quality_rules import quality
+from foliospark.llm.secret_scan import find_secrets
 from foliospark.llm.simhash import near_groups
 from foliospark.llm.token_counts import token_counts
 
@@ -31,6 +34,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_encode, op3_token_counts)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of content lines, and whether it stays."""
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding in every document."""
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window and step group of every piece of every document, by its number of tokens."""
+    docs = _table(spark, sf_dir, "documents")
+    return pack(token_counts(docs), docs.count())
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_encode, op3_token_counts, op6_quality_rules, op9_secret_scan, op10_packing)}
 
 ORACLES: dict[str, str] = {}
