@@ -21,7 +21,7 @@ from foliospark.llm.arrow import id_and_text, slices, utf8
 #: Labelled documents that the field is fitted on, at most: those with the smallest hash of doc_id. Everything else covers all rows.
 TRAIN_DOCS = 4000
 MIN_SHARE = 0.5
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _KINDS = ("lower", "upper", "digit", "space", "stop", "comma", "mark", "pipe", "symbol", "high", "rest")
 _CLASS = np.full(256, _KINDS.index("rest"), np.uint8)
