@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +30,27 @@ def whole_tokens(ranks: dict[bytes, int]) -> list[str]:
 
 
 class Counts(dict):
-    """Tokens of a pre-token: 1 for the proven, else by merging."""
+    """Tokens of a pre-token: 1 for the proven, else by merging.
 
-    def __init__(self, ranks: dict[bytes, int], whole: list[str]):
+    What was merged is remembered in two generations: when the younger is full it becomes the older, and what is
+    asked for again moves up, so that frequent pre-tokens are never forgotten.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], whole: list[str], size: int = CACHE):
         super().__init__(dict.fromkeys(whole, 1))
-        self.ranks, self.whole = ranks, whole
+        self.whole, self.size, self.old = whole, size, {}
+        # One piece is the whole string: merging is all that is left to the library.
+        self.merged = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE + len(self.whole):
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        n = len(merge(self.ranks, piece.encode()))
+        n = self.old.get(piece)
+        if n is None:
+            n = len(self.merged(piece))
         if len(piece) <= 64:
+            if len(self) >= self.size // 2 + len(self.whole):
+                self.old = dict(self)
+                self.clear()
+                self.update(dict.fromkeys(self.whole, 1))
             self[piece] = n
         return n
 
