@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.let import let
 from foliospark.functions.text import CJK, SENTENCE_END, first_line, py_strip
 
 _CN = "一二三四五六七八九十百千万"
@@ -42,17 +43,19 @@ def _unmarked(text: Column) -> Column:
     return F.translate(F.replace(t, F.lit("*"), F.lit("")), "．０１２３４５６７８９", ".0123456789")
 
 
-def numbering_signal(text: Column) -> Column:
-    """The name of the numbering a text begins with; null for none."""
-    t, out = _unmarked(text), None
+def _signal(t: Column) -> Column:
+    out = None
     for name, regex, _ in NUMBERING:
         out = F.when(t.rlike(regex), name) if out is None else out.when(t.rlike(regex), name)
     return out
 
 
-def numbering_level(text: Column) -> Column:
-    """The level numbering stands for; that of nested arabic numbers is a level below their depth, six at most."""
-    signal, t = numbering_signal(text), _unmarked(text)
+def numbering_signal(text: Column) -> Column:
+    """The name of the numbering a text begins with; null for none."""
+    return let(_unmarked(text), _signal)
+
+
+def _level(t: Column, signal: Column) -> Column:
     depth = F.size(F.split(F.regexp_extract(t, r"^(\d+(?:\.\d+)+)", 1), r"\."))
     out = F.when(signal == "section_arabic_nested", F.least(depth + 1, F.lit(6)))
     for name, _, level in NUMBERING:
@@ -60,34 +63,37 @@ def numbering_level(text: Column) -> Column:
     return out
 
 
+def numbering_level(text: Column) -> Column:
+    """The level numbering stands for; that of nested arabic numbers is a level below their depth, six at most."""
+    return let(_unmarked(text), lambda t: let(_signal(t), lambda s: _level(t, s)))
+
+
 def heading_text(content: Column) -> Column:
     """The first line; a bare number joined with the short line that follows, if it isn't body text."""
-    first, rest = first_line(content), F.transform(F.slice(F.split(content, "\n"), 2, 2), py_strip)
-    following = F.element_at(F.filter(rest, lambda x: F.length(x) > 0), 1)
-    following = F.when(F.size(F.filter(rest, lambda x: F.length(x) > 0)) > 0, following)
-    joined = F.concat(first, F.lit(" "), following)
-    return F.when(first.rlike(r"(?U)^\d+\z") & following.isNotNull() & ~is_body(following) & (F.length(joined) <= 80), joined).otherwise(first)
+
+    def joined(first: Column, following: Column) -> Column:
+        both = F.concat(first, F.lit(" "), following)
+        return F.when(following.isNotNull() & ~is_body(following) & (F.length(both) <= 80), both).otherwise(first)
+
+    rest = F.filter(F.transform(F.slice(F.split(content, "\n"), 2, 2), py_strip), lambda x: F.length(x) > 0)
+    return let(first_line(content), lambda first: F.when(first.rlike(r"(?U)^\d+\z"), let(F.get(rest, F.lit(0)), lambda f: joined(first, f))).otherwise(first))
 
 
 def is_body(text: Column) -> Column:
-    t = py_strip(text)
-    return (F.length(t) > 100) | t.rlike(SENTENCE_END + r"\z")
+    return let(py_strip(text), lambda t: (F.length(t) > 100) | t.rlike(SENTENCE_END + r"\z"))
 
 
 def is_not_heading(text: Column) -> Column:
     """What numbering or type alone would take for a heading: dates, entries of a table of contents, prices, links, captions."""
-    t = py_strip(text)
-    return t.rlike(DATE) | t.rlike(LEADERS) | t.rlike(r"(?U)^\d+\z") | t.rlike(PRICE) | t.rlike(NAV) | t.rlike(CAPTION_PREFIX) | (F.length(t) <= 1)
+    return let(py_strip(text), lambda t: t.rlike(DATE) | t.rlike(LEADERS) | t.rlike(r"(?U)^\d+\z") | t.rlike(PRICE) | t.rlike(NAV) | t.rlike(CAPTION_PREFIX) | (F.length(t) <= 1))
 
 
 def is_metadata(text: Column) -> Column:
-    t = py_strip(text)
-    return t.rlike(FIELD) | t.rlike(DATE)
+    return let(py_strip(text), lambda t: t.rlike(FIELD) | t.rlike(DATE))
 
 
 def is_short(text: Column) -> Column:
-    t = py_strip(text)
-    return (F.instr(t, "\n") == 0) & (F.length(t) <= 80)
+    return let(py_strip(text), lambda t: (F.instr(t, "\n") == 0) & (F.length(t) <= 80))
 
 
 def ends_with_colon(text: Column) -> Column:
@@ -103,7 +109,10 @@ def is_toc_header(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    t = py_strip(text)
+    return let(py_strip(text), _page_number)
+
+
+def _page_number(t: Column) -> Column:
     return t.rlike(r"(?U)^[—\s-]*\d{1,5}[—\s-]*\z") | t.rlike(r"(?iU)^[—\s-]*[cdilmvx]+[—\s-]*\z") | t.rlike(r"(?U)^[-–—]\s*\d+\s*[-–—]\z") | t.rlike(r"(?U)^第\s*\d+\s*页\z")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.let import let
 from foliospark.functions.text import py_strip, solid_lines
 
 SEPARATOR = r"(?U)^\|?[\s:|-]+(?:\|[\s:|-]+)+\|?\z"
@@ -18,14 +19,15 @@ def split_row(line: Column) -> Column:
 
 def parse_table(content: Column) -> Column:
     """struct<header array<string>, separator array<string>, rows array<array<string>>>; null for fewer than two lines."""
-    ls = solid_lines(content)
-    second = F.get(ls, F.lit(1))
-    separated = second.rlike(SEPARATOR)
-    header = split_row(F.get(ls, F.lit(0)))
-    skip = F.when(separated, 2).otherwise(1)
-    rows = F.transform(F.slice(ls, skip + 1, F.greatest(F.size(ls) - skip, F.lit(0))), split_row)
-    dashes = F.transform(header, lambda _: F.lit("---"))
-    return F.when(F.size(ls) >= 2, F.struct(header.alias("header"), F.when(separated, split_row(second)).otherwise(dashes).alias("separator"), rows.alias("rows")))
+    def parts(ls: Column) -> Column:
+        second, header = F.get(ls, F.lit(1)), split_row(F.get(ls, F.lit(0)))
+        separated = second.rlike(SEPARATOR)
+        skip = F.when(separated, 2).otherwise(1)
+        rows = F.transform(F.slice(ls, skip + 1, F.greatest(F.size(ls) - skip, F.lit(0))), split_row)
+        dashes = F.transform(header, lambda _: F.lit("---"))
+        return F.when(F.size(ls) >= 2, F.struct(header.alias("header"), F.when(separated, split_row(second)).otherwise(dashes).alias("separator"), rows.alias("rows")))
+
+    return let(solid_lines(content), parts)
 
 
 def build_table(header: Column, separator: Column, rows: Column) -> Column:
@@ -38,8 +40,10 @@ def build_table(header: Column, separator: Column, rows: Column) -> Column:
 
 def is_degenerate(content: Column) -> Column:
     """Tables without information: all blank, or up to 3 x 3 without digits, with the header twice and a blank last row."""
-    t = parse_table(content)
-    every = F.concat(F.array(t.header), t.rows)
+    return let(parse_table(content), lambda t: let(F.concat(F.array(t.header), t.rows), lambda every: _degenerate(t, every)))
+
+
+def _degenerate(t: Column, every: Column) -> Column:
     low = F.transform(every, lambda r: F.transform(r, F.lower))
     cells = F.flatten(low)
     solid = F.filter(cells, lambda c: F.length(c) > 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.let import let
+
 CJK = "㐀-䶿一-鿿豈-﫿"
 #: Ideographs with their punctuation and full-width forms.
 CJK_WIDE = CJK + "　-〿＀-￯"
@@ -49,12 +51,16 @@ def close_cjk_gaps(c: Column) -> Column:
     """Without blanks between ideographs and their punctuation.
 
     One pass with lookaround does it, unless the ideographic space occurs, which is both blank and ideograph: then
-    passes follow each other until nothing can change, each taking a blank at least.
+    passes follow each other until nothing can change, each taking a blank at least. Texts without ideographs or their marks are left alone.
     """
-    once = F.regexp_replace(c, f"(?U)(?<=[{CJK_WIDE}]){BLANK}(?=[{CJK_WIDE}{CJK_MARKS}])|(?<=[{CJK_MARKS}]){BLANK}(?=[{CJK_WIDE}])", "")
-    rounds = F.sequence(F.lit(0), F.size(F.regexp_extract_all(c, F.lit(r"(?U)([^\S\n])"), F.lit(1))))
-    slow = F.aggregate(rounds, c, lambda t, _: _cjk_pass(t))
-    return F.when(F.instr(c, "　") > 0, slow).otherwise(once)
+
+    def gaps(t: Column) -> Column:
+        once = F.regexp_replace(t, f"(?U)(?<=[{CJK_WIDE}]){BLANK}(?=[{CJK_WIDE}{CJK_MARKS}])|(?<=[{CJK_MARKS}]){BLANK}(?=[{CJK_WIDE}])", "")
+        rounds = F.sequence(F.lit(0), F.size(F.regexp_extract_all(t, F.lit(r"(?U)([^\S\n])"), F.lit(1))))
+        slow = F.aggregate(rounds, t, lambda x, _: _cjk_pass(x))
+        return F.when(~t.rlike(f"[{CJK_WIDE}]"), t).when(F.instr(t, "\u3000") > 0, slow).otherwise(once)
+
+    return let(c, gaps)
 
 
 def simplify_primes(c: Column) -> Column:
@@ -78,8 +84,7 @@ def clean(c: Column, encoding: bool = True, fullwidth: bool = True, cjk_spaces:
 
 def lines(c: Column) -> Column:
     """Like str.splitlines(): no empty last line."""
-    parts = F.split(c, LINE_BREAK, -1)
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_BREAK, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def solid_lines(c: Column) -> Column:
@@ -102,8 +107,7 @@ def line_count(c: Column) -> Column:
 
 def truncate(c: Column, limit: int) -> Column:
     """compact(), cut to limit characters, the last then an ellipsis."""
-    flat = compact(c)
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
+    return let(compact(c), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))))
 
 
 def has_cjk(c: Column) -> Column:
@@ -131,4 +135,4 @@ def without_space(c: Column) -> Column:
 
 def to_int(c: Column) -> Column:
     """A number that is whole, or a string of digits; else null."""
-    return F.when(py_strip(c.cast("string")).rlike(r"^\d+\z"), py_strip(c.cast("string")).cast("int"))
+    return let(py_strip(c.cast("string")), lambda t: F.when(t.rlike(r"^\d+\z"), t.cast("int")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import headings as H
+from foliospark.functions.let import computed
 from foliospark.functions.text import first_line, py_strip, truncate
 from foliospark.model import DocSet, flag
 from foliospark.operators.fold import fold
@@ -88,13 +89,13 @@ def detect_headings(d: DocSet) -> DocSet:
     cand = heading_candidates(stats)
     body = body_fonts(stats)
     pages = d.pages.select("doc_id", "page_number", F.col("width").alias("__pw"))
-    ranks = cand.select("doc_id", F.col("font").alias("__font"), "heading_rank")
+    ranks = cand.select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), "heading_rank")
     has = cand.select("doc_id").distinct().withColumn("__has", F.lit(True))
     e = d.elements.withColumn("__font", F.struct("font.name", "font.size", "font.bold"))
-    e = e.join(ranks, (e["doc_id"] == ranks["doc_id"]) & e["__font"].eqNullSafe(ranks["__font"]), "left").drop(ranks["doc_id"]).drop(ranks["__font"])
+    e = e.join(ranks, (F.col("doc_id") == F.col("__rd")) & F.col("__font").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf")
     e = e.join(body, "doc_id", "left").join(has, "doc_id", "left").join(default_ocr_level(d.elements, cand), "doc_id", "left").join(pages, ["doc_id", "page_number"], "left")
-    head = H.heading_text(F.col("content"))
-    e = e.withColumn("__head", head).withColumn("__signal", H.numbering_signal(F.col("__head"))).withColumn("__num", H.numbering_level(F.col("__head")))
+    e = computed(e, __head=H.heading_text(F.col("content")))
+    e = computed(e, __signal=H.numbering_signal(F.col("__head")), __num=H.numbering_level(F.col("__head")))
     h, num, signal = F.col("__head"), F.col("__num"), F.col("__signal")
     by_font = F.when(F.col("heading_rank").isNotNull(), F.least(F.col("heading_rank"), F.lit(3)))
     short, meta, body_like = H.is_short(h), H.is_metadata(h), H.is_body(h)
@@ -139,10 +140,12 @@ def _coherent(numbers, least: int):
 
 def coherent_numbering(d: DocSet) -> DocSet:
     """Headings of weak numbering by its coherence: three to eight lines ``1 Title`` of a document become level 2, two or more ``1.1 Title`` of a root level 3."""
-    h = H.heading_text(F.col("content"))
+    h = F.col("__head")
     usable = (F.col("type") == "text") & ~flag("toc_entry") & ~flag("toc_header") & (F.length(h) > 0) & ~H.is_body(h) & ~H.is_not_heading(h) & ~H.ends_with_colon(h)
     signal = F.when(usable, H.numbering_signal(h))
-    e = d.elements.withColumn("__head", h).withColumn("__root", F.when(signal == "section_arabic_spaced", F.regexp_extract(h, r"(?U)^(\d{1,3})\s", 1).cast("int"))).withColumn("__of", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^(\d{1,9})\.\d", 1).cast("int"))).withColumn("__sub", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^\d+\.(\d{1,9})", 1).cast("int")))
+    e = computed(computed(d.elements, __head=H.heading_text(F.col("content"))), __signal=signal)
+    signal = F.col("__signal")
+    e = e.withColumn("__root", F.when(signal == "section_arabic_spaced", F.regexp_extract(h, r"(?U)^(\d{1,3})\s", 1).cast("int"))).withColumn("__of", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^(\d{1,9})\.\d", 1).cast("int"))).withColumn("__sub", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^\d+\.(\d{1,9})", 1).cast("int")))
     roots = e.filter("__root is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("__root")).alias("s")).filter(F.col("n").between(3, COHERENT_MOST) & _coherent(F.col("s"), 3)).select("doc_id", F.lit(True).alias("__roots"))
     subs = e.filter("__sub is not null").groupBy("doc_id", "__of").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("__sub")).alias("s")).filter((F.col("n") >= 2) & _coherent(F.col("s"), 2)).select("doc_id", "__of", F.lit(True).alias("__subs"))
     e = e.join(roots, "doc_id", "left").join(subs, ["doc_id", "__of"], "left")
@@ -153,14 +156,16 @@ def coherent_numbering(d: DocSet) -> DocSet:
 
 def fallback_candidates(d: DocSet) -> DataFrame:
     """What rules leave open: short lines with one signal, or with none where fonts aren't known, and 80 characters of the texts around."""
-    cand = heading_candidates(font_stats(d.elements)).select("doc_id", F.col("font").alias("__font"), "heading_rank")
+    cand = heading_candidates(font_stats(d.elements)).select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), "heading_rank")
     w = Window.partitionBy("doc_id", "page_number").orderBy("seq")
     said = F.when((F.col("type") == "text") & (F.length(py_strip(F.col("content"))) > 0), truncate(F.col("content"), 80))
     e = d.elements.withColumn("prev_text", F.coalesce(F.last(said, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""))).withColumn("next_text", F.coalesce(F.first(said, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit("")))
     e = e.withColumn("__font", F.struct("font.name", "font.size", "font.bold"))
-    e = e.join(cand, (e["doc_id"] == cand["doc_id"]) & e["__font"].eqNullSafe(cand["__font"]), "left").drop(cand["doc_id"]).drop(cand["__font"])
-    h = H.heading_text(F.col("content"))
-    num, signal, size = H.numbering_level(h), H.numbering_signal(h), F.coalesce(F.col("font.size"), F.lit(0.0))
+    e = e.join(cand, (F.col("doc_id") == F.col("__rd")) & F.col("__font").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf")
+    e = computed(e, __head=H.heading_text(F.col("content")))
+    h = F.col("__head")
+    e = computed(e, __signal=H.numbering_signal(h), __num=H.numbering_level(h))
+    num, signal, size = F.col("__num"), F.col("__signal"), F.coalesce(F.col("font.size"), F.lit(0.0))
     font = F.col("heading_rank").isNotNull()
     open_ = (F.col("type") == "text") & (F.coalesce("heading_level", F.lit(0)) == 0) & ~flag("code_block") & ~flag("toc_entry") & ~flag("retained_identity") & (F.length(h) > 0) & ~H.is_not_heading(h) & H.is_short(h) & ~H.is_body(h) & ~F.coalesce(F.col("heading_reason") == "not_apart", F.lit(False))
     none = ~font & num.isNull() & (size <= 0) & (F.length(h) <= 30) & ~H.is_metadata(h) & ~H.ends_with_colon(h)
@@ -310,11 +315,11 @@ def _page_rules(rows: list[dict]) -> list[dict]:
 
 def heading_shape(d: DocSet) -> DocSet:
     """Headings in several pieces joined, and headings with body text parted, on the pages that have any."""
-    cand = heading_candidates(font_stats(d.elements)).select("doc_id", F.col("font").alias("__font"), F.lit(True).alias("__candidate"))
+    cand = heading_candidates(font_stats(d.elements)).select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), F.lit(True).alias("__candidate"))
     on = ["doc_id", "page_number"]
     pages = d.elements.filter("heading_level > 0").select(*on).distinct()
     e = d.elements.join(pages, on, "left_semi").withColumn("__f", F.struct("font.name", "font.size", "font.bold"))
-    e = e.join(cand, (e["doc_id"] == cand["doc_id"]) & e["__f"].eqNullSafe(cand["__font"]), "left").drop(cand["doc_id"]).drop("__font", "__f")
+    e = e.join(cand, (F.col("doc_id") == F.col("__rd")) & F.col("__f").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf", "__f")
     e = e.join(d.pages.groupBy("doc_id").agg(F.min("page_number").alias("__first")), "doc_id", "left")
     shaped = fold(e, tuple(on), _page_rules).select(*d.elements.columns)
     return d.with_elements(d.elements.join(pages, on, "left_anti").unionByName(shaped))
@@ -333,8 +338,9 @@ def title_pairs(d: DocSet) -> DocSet:
 
 def orphan_clusters(elements: DataFrame) -> DataFrame:
     """(doc_id, level, prefix, n): five or more headings of a level numbered ``prefix.N``, three deep or more, where no heading is numbered prefix."""
-    number = F.regexp_extract(H.heading_text(F.col("content")), r"^(\d+(?:\.\d+)+)", 1)
-    hs = elements.filter("type = 'text' and heading_level > 0").withColumn("number", number).filter((F.length("number") > 0) & (H.numbering_signal(H.heading_text(F.col("content"))) == "section_arabic_nested"))
+    head = H.heading_text(F.col("content"))
+    hs = computed(elements.filter("type = 'text' and heading_level > 0"), __head=head)
+    hs = computed(hs, number=F.regexp_extract("__head", r"^(\d+(?:\.\d+)+)", 1), __signal=H.numbering_signal(F.col("__head"))).filter((F.length("number") > 0) & (F.col("__signal") == "section_arabic_nested"))
     deep = hs.filter(F.size(F.split("number", r"\.")) >= ORPHAN_DEPTH).withColumn("prefix", F.regexp_replace("number", r"\.\d+\z", ""))
     parents = hs.select("doc_id", F.col("number").alias("prefix")).distinct()
     return deep.join(parents, ["doc_id", "prefix"], "left_anti").groupBy("doc_id", F.col("heading_level").alias("level"), "prefix").agg(F.count("*").alias("n")).filter(F.col("n") >= ORPHANS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
+from foliospark.functions.let import computed
 from foliospark.model import DocSet
 
 MIN_ELEMENTS, MIN_SIDE, WIDE, NARROW, TINY = 6, 3, 0.6, 0.15, 0.10
@@ -28,16 +29,16 @@ def detect_columns(d: DocSet) -> DataFrame:
     step = F.greatest(F.lit(1.0), F.col("pw") / 200)
     places = F.transform(F.sequence(F.lit(0), F.floor((F.col("pw") * HIGH - F.col("pw") * LOW) / step).cast("int")), lambda k: F.col("pw") * LOW + k * step)
     counted = F.transform(places, lambda x: F.struct(F.size(F.filter(F.col("bs"), lambda b: (b.x0 <= x) & (b.x1 >= x))).alias("crossing"), x.alias("x")))
-    page = page.withColumn("best", F.array_min(counted)).filter(F.col("best.crossing") <= 2)
+    page = computed(page, best=F.array_min(counted)).filter(F.col("best.crossing") <= 2)
     x = F.col("best.x")
     side = F.filter("bs", lambda b: ~((b.x0 < x) & (b.x1 > x)))
     middle = lambda b: (b.x0 + b.x1) / 2
-    page = page.withColumn("left", F.filter(side, lambda b: middle(b) < x)).withColumn("right", F.filter(side, lambda b: middle(b) >= x)).filter((F.size("left") >= MIN_SIDE) & (F.size("right") >= MIN_SIDE))
+    page = computed(page, left=F.filter(side, lambda b: middle(b) < x), right=F.filter(side, lambda b: middle(b) >= x)).filter((F.size("left") >= MIN_SIDE) & (F.size("right") >= MIN_SIDE))
     lr, rl = F.array_max(F.transform("left", lambda b: b.x1)), F.array_min(F.transform("right", lambda b: b.x0))
-    page = page.withColumn("left_right", lr).withColumn("right_left", rl).withColumn("right_right", F.array_max(F.transform(F.filter("bs", lambda b: middle(b) > x), lambda b: b.x1)))
+    page = computed(page, left_right=lr, right_left=rl, right_right=F.array_max(F.transform(F.filter("bs", lambda b: middle(b) > x), lambda b: b.x1)))
     page = page.withColumn("gutter_x", (F.col("left_right") + F.col("right_left")) / 2).withColumn("gw", F.col("right_left") - F.col("left_right"))
     conf = F.when(F.abs(F.col("gutter_x") / F.col("pw") - 0.5) > 0.15, 0.7).otherwise(1.0) * F.when(F.col("gw") < MIN_GUTTER, 0.5).otherwise(1.0) * F.when(F.col("best.crossing") == 0, 1.0).otherwise(0.7)
-    return page.withColumn("confidence", conf).filter(F.col("confidence") >= CONFIDENCE).select("doc_id", "page_number", "gutter_x", F.greatest("gw", F.lit(0.0)).alias("gutter_width"), "left_right", F.coalesce("right_right", "right_left").alias("right_right"), "confidence")
+    return computed(page, confidence=conf).filter(F.col("confidence") >= CONFIDENCE).select("doc_id", "page_number", "gutter_x", F.greatest("gw", F.lit(0.0)).alias("gutter_width"), "left_right", F.coalesce("right_right", "right_left").alias("right_right"), "confidence")
 
 
 def page_layout(d: DocSet) -> DataFrame:

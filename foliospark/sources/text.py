@@ -31,7 +31,7 @@ def grid_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     e = line_elements(docs, id_col, text_col)
     k = F.col("seq").cast("long") % LINES_PER_PAGE
     n = F.length("content")
-    x0 = F.when(k % 2 == 1, 315.0).otherwise(72.0)
+    x0 = F.when(k % 2 == 1, 330.0).otherwise(72.0)
     y0 = 30.0 + 37.0 * F.floor(k / 2)
     x1 = F.when(k == 0, 540.0).otherwise(x0 + 6.0 * F.least(n, F.lit(40)))
     size = F.when(n <= 12, 18.0).when(n <= 40, 14.0).otherwise(10.0)
