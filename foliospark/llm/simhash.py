@@ -161,7 +161,8 @@ def shard_forest(ids: np.ndarray, low: np.ndarray, high: np.ndarray, lives: np.n
             b = here[np.arange(n.sum()) - np.repeat(ends[at:to] - n - done, n) + np.repeat(first[some], n)]
             keep = (b < a) | ~lives[a]
             a, b = a[keep], b[keep]
-            near = np.bitwise_count(low[a] ^ low[b]).astype(np.int16) + np.bitwise_count(high[a] ^ high[b]) <= radius
+            # Of signed numbers bitwise_count takes the absolute value.
+            near = np.bitwise_count((low[a] ^ low[b]).view(np.uint64)).astype(np.int16) + np.bitwise_count((high[a] ^ high[b]).view(np.uint64)) <= radius
             _join(parent, a[near], b[near])
             at = to
     while not ((up := parent[parent]) == parent).all():
