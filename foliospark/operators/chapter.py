@@ -16,6 +16,7 @@ from foliospark.functions.text import first_line, py_strip, truncate
 from foliospark.model import DocSet, flag
 from foliospark.operators.fold import fold
 from foliospark.operators.metadata import body_fonts, font_stats, heading_candidates
+from foliospark.runtime import materialise
 
 ISOLATION, SAME_SIZE = 1.4, 0.5
 COHERENT_MOST, ORPHANS, ORPHAN_DEPTH, FALLBACK_BATCH, FALLBACK_DENSITY = 8, 5, 3, 40, 8
@@ -356,11 +357,16 @@ def demote_orphans(d: DocSet) -> DocSet:
 
 
 def chapters(d: DocSet, ask: Callable[[list[dict]], dict[int, int]] | None = None) -> DocSet:
-    """All heading rules in order; ask, if given, decides what they leave open."""
-    d = coherent_numbering(detect_headings(toc_blocks(d)))
-    if ask is not None:
-        d = classify_fallback(d, ask)
-    return demote_orphans(heading_shape(title_pairs(d)))
+    """All heading rules in order; ask, if given, decides what they leave open.
+
+    Rules look at a document's elements from several sides, so each one's result is written and read again: plans would else multiply.
+    """
+    steps = [toc_blocks, detect_headings, coherent_numbering, *([lambda x: classify_fallback(x, ask)] if ask is not None else []), title_pairs, heading_shape, demote_orphans]
+    for k, step in enumerate(steps):
+        d = step(d)
+        if k < len(steps) - 1:
+            d = d.with_elements(materialise(d.elements, f"headings-{k}"))
+    return d
 
 
 __all__ = ["chapters", "classify_fallback", "coherent_numbering", "default_ocr_level", "demote_orphans", "detect_headings", "fallback_candidates", "heading_shape", "isolated", "mark_toc", "merge_cover", "merge_split", "orphan_clusters", "split_heading", "title_pairs", "toc_blocks"]

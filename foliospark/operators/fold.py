@@ -1,25 +1,44 @@
-"""Rules that read their own results run over the rows of one page or document at a time."""
+"""Rules that read their own results run over the rows of one page or document at a time.
+
+Rows are hashed and sorted by their keys once, and a partition's groups are taken one after the other out of its Arrow
+batches: a group costs what its rows do, however many there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.model import PLACE
 
+_OUT = 4096
+
 
 def fold(df: DataFrame, keys: tuple[str, ...], rule: Callable[[list[dict]], list[dict]], order: tuple[str, ...] = PLACE, schema=None) -> DataFrame:
     """rule() over each group's rows as dicts, in order; what it returns has the schema of df, unless another is given."""
-    columns = df.columns
     out = schema or df.schema
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(list(order), kind="stable").astype(object)
-        rows = rows.where(rows.notna(), None).to_dict("records")
-        names = [f.name for f in out.fields] if hasattr(out, "fields") else columns
-        done = rule(rows)
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in done], dtype=object) for n in names})
-
-    return df.groupBy(*keys).applyInPandas(group, out)
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        group: list[dict] = []
+        at, done = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != at:
+                    if group:
+                        done += rule(group)
+                    group, at = [], key
+                    if len(done) >= _OUT:
+                        yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                        done = []
+                group.append(row)
+        if group:
+            done += rule(group)
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

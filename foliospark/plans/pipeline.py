@@ -1,7 +1,7 @@
 """The stages in order, and the calls that run them.
 
-A run takes any number of documents. Stages are lazy; the elements are written to the shared folder where many consumers follow, so that
-plans stay short and a lost executor costs little.
+A run takes any number of documents. After a stage the elements are written to the shared folder, so that plans stay short and a lost
+executor costs little.
 """
 
 from __future__ import annotations
@@ -94,8 +94,8 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 #: Stages that need boxes: documents without any, as from DOCX, HTML and text, skip them.
 GEOMETRY = frozenset({"reading_order", "header_footer", "code_block", "content_value", "vlm_review"})
-#: After these the elements are written and read again.
-CUTS = frozenset({"header_footer", "chapter", "image", "content_value"})
+#: Stages that pass over elements once; after each other one they are written and read again, or plans would multiply.
+ONCE = frozenset({"formula", "text_clean"})
 
 
 def parse(d: DocSet, config: Config | None = None, geometry: bool = True) -> DocSet:
@@ -106,7 +106,7 @@ def parse(d: DocSet, config: Config | None = None, geometry: bool = True) -> Doc
         if name in skip:
             continue
         d = stage(d, c)
-        if name in CUTS:
+        if name not in ONCE:
             d = replace(d, elements=materialise(d.elements, f"elements-{name}"))
     return d
 
