@@ -89,7 +89,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2 ** 64, and of its inverse."""
     if len(_KNOWN[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _KNOWN[k] = np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
+            _KNOWN[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
     return _KNOWN[0], _KNOWN[1]
 
 
