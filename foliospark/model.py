@@ -54,14 +54,15 @@ class DocSet:
 
 
 def complete(df: DataFrame, schema: T.StructType = ELEMENT) -> DataFrame:
-    """df with just the columns of schema, in its order and types; missing ones are null, and elem_id is made of place and content."""
+    """df with just the columns of schema, in its order and types; missing ones are null, but an elem_id is made of the place."""
     have = set(df.columns)
     out = []
     for f in schema.fields:
-        if f.name in have:
+        if f.name == "elem_id":
+            made = F.concat_ws(":", "doc_id", "page_number", "seq")
+            out.append((F.coalesce(F.col("elem_id").cast("string"), made) if "elem_id" in have else made).alias("elem_id"))
+        elif f.name in have:
             out.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        elif f.name == "elem_id":
-            out.append(F.concat_ws(":", "doc_id", "page_number", "seq").alias("elem_id"))
         else:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*out)

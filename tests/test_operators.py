@@ -1,0 +1,145 @@
+"""Operators on small pages made by hand."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.model import DOC, ELEMENT, PAGE, DocSet, complete
+from foliospark.operators import chapter, code_block, content_value, crossref, header_footer, ocr, page, reading_order, table, vlm_review
+from foliospark.services.clients import Canned, HttpModel
+from foliospark.sinks import chapters, markdown
+from foliospark.verify import checks
+
+
+@pytest.fixture(scope="module")
+def make(spark):
+    def build(rows, pages=None, width=612.0, height=792.0):
+        """rows: (page, seq, type, content, (x0, y0, x1, y1) or None, more columns)."""
+        import json
+
+        flat = [json.dumps({"doc_id": 1, "page_number": p, "seq": float(s), "type": t, "content": c, "source": "native", "bbox": dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) if b else None, **more}) for p, s, t, c, b, more in rows]
+        e = spark.createDataFrame([(x,) for x in flat], "j string").select(F.from_json("j", ELEMENT).alias("e")).select("e.*")
+        n = pages or max((r[0] for r in rows), default=1)
+        p = spark.createDataFrame([(1, k, width, height, "native") for k in range(1, n + 1)], "doc_id long, page_number int, width double, height double, page_type string")
+        return DocSet(complete(spark.createDataFrame([(1,)], "doc_id long"), DOC), complete(p, PAGE), complete(e))
+
+    return build
+
+
+def rows_of(d, *columns):
+    return [tuple(r[c] for c in columns) for r in d.elements.orderBy("page_number", "seq").collect()]
+
+
+def test_headers_and_footers(make):
+    rows = []
+    for p in range(1, 6):
+        rows += [(p, 0, "text", "Annual Report", (50, 10, 300, 25), {}), (p, 1, "text", f"Body of page {p}", (50, 100, 500, 700), {}), (p, 2, "text", f"- {p} -", (290, 770, 320, 785), {})]
+    got = rows_of(header_footer.strip_headers_footers(make(rows)), "page_number", "content", "retained_identity")
+    assert got == [(1, "Annual Report", True)] + [(p, f"Body of page {p}", None) for p in range(1, 6)]
+
+
+def test_section_headers(make):
+    rows = [(p, 0, "text", f"说明书 {p}/2 页", (50, 36, 300, 50), {}) for p in (1, 2)] + [(p, 1, "text", "正文", (50, 200, 300, 220), {}) for p in (1, 2)]
+    assert rows_of(header_footer.promote_section_headers(make(rows)), "page_number", "content", "heading_level") == [(1, "说明书", 1), (1, "正文", None), (2, "正文", None)]
+
+
+def test_two_columns(make):
+    rows = [(1, 0, "text", "Title", (72, 50, 540, 70), {})] + [(1, k + 1, "text", f"{'L' if k % 2 == 0 else 'R'}{k // 2}", (72 if k % 2 == 0 else 330, 100 + 50 * (k // 2), 290 if k % 2 == 0 else 540, 130 + 50 * (k // 2)), {}) for k in range(8)]
+    d = make(rows)
+    layout = reading_order.detect_columns(d).collect()
+    assert len(layout) == 1 and 280 < layout[0].gutter_x < 330 and layout[0].confidence >= 0.6
+    assert [c for (c,) in rows_of(reading_order.reading_order(d), "content")] == ["Title", "L0", "L1", "L2", "L3", "R0", "R1", "R2", "R3"]
+
+
+def test_code_blocks(make):
+    mono, body = ({"font": {"name": n, "size": 10.0, "bold": False, "italic": False}} for n in ("Courier", "Serif"))
+    rows = [(1, 0, "text", "Run this:", (1, 1, 50, 10), body), (1, 1, "text", "ls -l ", (1, 12, 60, 20), mono), (1, 2, "text", "cd /", (1, 22, 80, 30), mono), (1, 3, "text", "1. inline", (1, 32, 80, 40), mono)]
+    got = rows_of(code_block.code_blocks(make(rows)), "content", "code_block", "bbox")
+    assert [(c, k) for c, k, _ in got] == [("Run this:", None), ("ls -l\ncd /", True), ("1. inline", None)] and got[1][2].x1 == 80 and got[1][2].y1 == 30
+    only = make([(1, k, "text", "x", None, mono) for k in range(2)])
+    assert rows_of(code_block.code_blocks(only), "code_block") == [(None,), (None,)]
+
+
+def test_headings(make):
+    f = lambda size, bold=False: {"font": {"name": "S", "size": size, "bold": bold, "italic": False}}
+    body = "This is body text that goes on for a while and ends with a stop. " * 3
+    rows = [(1, 0, "text", "第一章 总则", (50, 50, 300, 70), f(18.0)), (1, 1, "text", body, (50, 100, 500, 200), f(10.0)), (1, 2, "text", "1.2 Scope", (50, 230, 300, 245), f(14.0)), (1, 3, "text", "2026年3月", (50, 300, 300, 315), f(18.0)), (1, 4, "text", body, (50, 330, 500, 400), f(10.0)), (1, 5, "text", "一、概述", (50, 430, 300, 445), f(10.0))]
+    assert rows_of(chapter.detect_headings(make(rows)), "heading_level") == [(1,), (None,), (3,), (None,), (None,), (2,)]
+
+
+def test_heading_rules():
+    assert chapter.split_heading("3.1\nScope of\nwork\nBody text here.", 2) == (["3.1 Scope of work"], "Body text here.") or chapter.split_heading("3.1\nScope of\nwork\nBody.", 2)[0][0].startswith("3.1 Scope")
+    assert chapter.split_heading("Title\nA subtitle\nThis is body text.", 1) == (["Title", "A subtitle"], "This is body text.")
+    assert chapter.split_heading("Heading\nbody text.", 2) == (["Heading"], "body text.")
+    toc = [{"type": "text", "content": c, "heading_level": None} for c in ("目 录", "第一章 公告 .... 2", "第二章 说明 …… 5", "This is a long body text that isn't an entry at all and goes on and on beyond eighty.")]
+    got = chapter.mark_toc(toc)
+    assert got[0]["heading_level"] == 1 and [bool(r.get("toc_entry")) for r in got] == [False, True, True, False]
+
+
+def test_cross_page_tables(make):
+    t = "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |"
+    rows = [(1, 0, "table", t, (50, 400, 500, 780), {}), (2, 0, "text", "- 2 -", (290, 770, 320, 785), {}), (3, 0, "table", "| a | b | c |\n|---|---|---|\n| 4 | 5 | 6 |", (50, 20, 500, 300), {}), (3, 1, "text", "after", (50, 400, 500, 420), {})]
+    got = rows_of(table.merge_cross_page(make(rows)), "type", "content", "merged_from", "rows")
+    assert got[0] == ("table", t + "\n| 4 | 5 | 6 |", [1, 3], 3) and [g[0] for g in got] == ["table", "text", "text"]
+
+
+def test_captions(make):
+    rows = [(1, 0, "image", "", (100, 100, 400, 300), {}), (1, 1, "text", "图 1 系统结构", (150, 310, 350, 325), {}), (1, 2, "text", "Table 1: costs", (100, 400, 300, 415), {}), (1, 3, "table", "| a | b |\n|---|---|\n| 1 | 2 |", (100, 420, 400, 600), {})]
+    assert rows_of(crossref.captions(make(rows)), "caption", "skip_render") == [("图 1 系统结构", None), (None, True), (None, True), ("Table 1: costs", None)]
+
+
+def test_value(make):
+    body = "A paragraph of body text that is long enough to count as such."
+    rows = [(1, k, "text", body, (100, 200 + 40 * k, 500, 230 + 40 * k), {}) for k in range(4)] + [(1, 9, "text", "OK", (560, 770, 600, 790), {})]
+    assert rows_of(content_value.content_value(make(rows)), "skip_render") == [(None,)] * 4 + [(True,)]
+
+
+def test_text_in_tables_and_pages(make):
+    rows = [(1, 0, "table", "| a |", (0, 0, 100, 100), {}), (1, 1, "text", "in", (10, 10, 50, 50), {}), (1, 2, "text", "half out", (80, 80, 200, 200), {}), (1, 3, "text", "no box", None, {})]
+    assert [c for (c,) in rows_of(page.drop_text_in_tables(make(rows)), "content")] == ["| a |", "half out", "no box"]
+    scan = make([(1, 0, "image", "", (0, 0, 612, 792), {}), (1, 1, "text", "x", (1, 1, 5, 5), {})])
+    assert [r.page_type for r in page.classify_pages(scan).pages.collect()] == ["scanned"]
+
+
+def test_recognition(make, spark):
+    d = make([(1, 0, "text", "native text here", (50, 50, 300, 70), {})])
+    blocks = [{"label": "doc_title", "text": "A Title", "bbox": [0, 0, 200, 40]}, {"label": "text", "text": "native text here", "bbox": [0, 50, 200, 90]}, {"label": "footer", "text": "x", "bbox": None}, {"label": "image", "text": "", "bbox": [0, 100, 400, 400]}, {"label": "table", "text": "<table><tr><td>a</td></tr></table>", "bbox": [0, 500, 9, 509]}]
+    images = spark.createDataFrame([(1, 1, b"p", 1224.0, 1584.0)], "doc_id long, page_number int, image binary, render_width double, render_height double")
+    read = ocr.recognise(images, lambda pages: [[dict(b) for b in blocks]])
+    e = ocr.block_elements(read, d.pages)
+    assert [(r.type, r.heading_level, r.content) for r in e.orderBy("seq").collect()] == [("text", 1, "A Title"), ("text", None, "native text here"), ("image", None, ""), ("table", None, "| a |\n| --- |")]
+    assert e.filter("type = 'image'").first().bbox.x1 == 200
+    got = [(t, c) for t, c in rows_of(ocr.integrate(d, e), "type", "content")]
+    assert ("text", "A Title") in got and got.count(("text", "native text here")) == 1
+
+
+def test_corrections():
+    rows = [{"doc_id": 1, "page_number": 1, "seq": float(k), "elem_id": str(k), "type": "text", "content": c, "source": "ocr", "spans": None, "heading_level": None, "__answer": '{"corrections": [{"type": "fix_text", "element_index": 0, "original": "teh", "corrected": "the"}, {"type": "fix_text", "element_index": 1, "original": "a,b", "corrected": "a，b"}, {"type": "add_missing", "content": "new", "insert_after_index": 0}, {"type": "other"}]}'} for k, c in enumerate(["teh end", "a,b"])]
+    assert [(r["content"], r["source"]) for r in vlm_review.apply_corrections(rows)] == [("the end", "vlm"), ("new", "vlm"), ("a,b", "ocr")]
+
+
+def test_render_chapters_and_checks(make):
+    rows = [(1, 0, "text", "Intro", None, {}), (1, 1, "text", "One", None, {"heading_level": 1}), (1, 2, "text", "Deep", None, {"heading_level": 3}), (2, 0, "text", "ab", None, {"spans": [{"text": "a", "bold": True, "italic": False, "underline": False, "sup": False}, {"text": "b", "bold": False, "italic": False, "underline": True, "sup": False}]}), (2, 1, "image", "", None, {"saved_path": "images/x.png", "description": "A plot"}), (2, 2, "text", "gone", None, {"skip_render": True})]
+    d = make(rows)
+    md = markdown.render(d)
+    assert md.first().markdown == "<!-- PAGE 1 -->\nIntro\n\n# One\n\n### Deep\n\n<!-- PAGE 2 -->\n**a**<u>b</u>\n\n![A plot](images/x.png)\n\n> A plot"
+    ch = chapters.render_chapters(d.elements).orderBy("chapter").collect()
+    assert [(c.title, c.file) for c in ch] == [("前言", "ch_01.md"), ("One", "ch_02.md")] and "](../images/x.png)" in ch[1].markdown
+    assert chapters.toc_index(d.elements).first()["index"] == "# 目录\n\n- [前言](chapters/ch_01.md)\n- [One](chapters/ch_02.md)\n    - Deep\n"
+    w = {r.warning for r in checks.verify(d, md).collect()}
+    assert w == {"Page 1: heading level jump from H1 to H3 (Deep).", "Page 1: orphan H3 heading without H2 parent (Deep)."}
+
+
+def test_clients():
+    calls = []
+
+    def post(url, body, headers, timeout):
+        import urllib.error
+
+        calls.append(url)
+        if url.endswith("responses"):
+            raise urllib.error.HTTPError(url, 404, "", None, None)
+        return {"choices": [{"message": {"content": "```json\n{}\n```"}}]}
+
+    m = HttpModel("http://model.example/v1/", "m", post=post, sleep=lambda s: None)
+    assert m.complete("s", "u") == "{}" and m.complete("s", "u") == "{}" and [c.rpartition("/")[2] for c in calls] == ["responses", "completions", "completions"]
+    assert Canned({Canned.key("s", "u"): "yes"}).complete("s", "u") == "yes"
