@@ -12,6 +12,7 @@ from foliospark.functions.html_table import html_table_column
 from foliospark.functions.tables import column_count
 from foliospark.functions.text import first_line, py_strip, without_space
 from foliospark.model import DocSet, complete, flag
+from foliospark.runtime import materialise
 
 SKIPPED = ("header", "footer", "number", "header_image", "aside_text")
 FIGURES, TITLES = ("image", "figure"), ("doc_title", "paragraph_title", "title")
@@ -174,7 +175,8 @@ def duplicates(native: DataFrame, ocr: DataFrame) -> DataFrame:
 def integrate(d: DocSet, ocr: DataFrame) -> DocSet:
     """Recognised elements put into their pages. On scanned pages they replace native text and tables, and images whose area they cover are skipped; elsewhere duplicates are left out. They come after what is there."""
     on = ["doc_id", "page_number"]
-    ocr = figure_captions(suppress(ocr, text_in_figures(ocr), "in_figure"))
+    # Both sides are read several times below; written out, they are worked out once.
+    ocr = materialise(figure_captions(suppress(ocr, text_in_figures(ocr), "in_figure")), "ocr-elements")
     kind = d.pages.select(*on, F.col("page_type").alias("__kind"), (F.col("width") * F.col("height")).alias("__area"))
     read = ocr.select(*on).distinct().withColumn("__read", F.lit(True))
     own = d.elements.join(kind, on, "left").join(read, on, "left")
@@ -190,7 +192,7 @@ def integrate(d: DocSet, ocr: DataFrame) -> DocSet:
     own = suppress(own, dup.filter("replaces is not null").select("doc_id", F.col("replaces").alias("elem_id")), "replaced_by_ocr")
     end = own.groupBy(*on).agg(F.max("seq").alias("__end"))
     new = new.join(end, on, "left").withColumn("seq", F.coalesce(F.col("__end") + 1, F.lit(0.0)) + F.col("seq")).select(*d.elements.columns)
-    both = own.unionByName(new)
+    both = materialise(own.unionByName(new), "with-ocr")
     return d.with_elements(suppress(both, text_in_figures(both), "in_figure"))
 
 
