@@ -10,7 +10,7 @@ from foliospark.functions.html_table import html_table_column
 from foliospark.model import DocSet, complete
 from foliospark.operators import chapter, content_value, crossref, formula, line_unwrap
 from foliospark.operators import table as tables
-from foliospark.plans.pipeline import parse, parse_result
+from foliospark.plans.pipeline import parse
 from foliospark.queries.base import box_docset, grid, numbered, table
 from foliospark.sinks.chapters import render_chapters
 from foliospark.sinks.markdown import render
@@ -39,13 +39,6 @@ def parse_pages(spark, sf_dir):
     return r.select("doc_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("digest"))
 
 
-def parse_documents(spark, sf_dir):
-    """Every document, with its made-up layout, through all stages; chapters and warnings counted."""
-    r = parse_result(grid(spark, sf_dir))
-    w = r.warnings.groupBy("doc_id").agg(F.count("*").alias("warnings"))
-    return r.markdown.select("doc_id", F.length("markdown").alias("chars")).join(r.chapters.groupBy("doc_id").agg(F.count("*").alias("chapters")), "doc_id", "left").join(w, "doc_id", "left").fillna(0)
-
-
 def heading_detection(spark, sf_dir):
     """Headings of numbered lines by level."""
     e = chapter.chapters(numbered(spark, sf_dir)).elements
@@ -126,5 +119,5 @@ def chapter_sizes(spark, sf_dir):
 
 STAGE_QUERIES = {
     f.__name__: (f, None)
-    for f in (flagship, html_structure, parse_pages, parse_documents, heading_detection, toc_blocks, line_unwrapping, value_scores, caption_assignment, formula_notation, split_tables, html_tables, evaluation, chapter_sizes)
+    for f in (flagship, html_structure, parse_pages, heading_detection, toc_blocks, line_unwrapping, value_scores, caption_assignment, formula_notation, split_tables, html_tables, evaluation, chapter_sizes)
 }

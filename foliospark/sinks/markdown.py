@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.let import computed
 from foliospark.functions.text import py_strip
 from foliospark.model import DocSet, flag
 
@@ -103,7 +104,7 @@ def _in_order(key: str, value: str) -> Column:
 
 def render_pages(elements: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(by, page_number, markdown): a page's elements apart by blank lines below a page marker; pages that show nothing are left out."""
-    parts = elements.withColumn("md", render_element()).filter(F.length("md") > 0)
+    parts = computed(elements, md=render_element()).filter(F.length("md") > 0)
     return parts.groupBy(*by, "page_number").agg(F.concat(F.lit("<!-- PAGE "), F.col("page_number").cast("string"), F.lit(" -->\n"), F.array_join(_in_order("seq", "md"), "\n\n")).alias("markdown"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.evaluate.metrics import edit_distance
 from foliospark.functions import geometry as G
+from foliospark.functions.let import computed
 from foliospark.functions.tables import table_shape
 from foliospark.functions.text import first_line, for_comparison, numbers, py_strip
 from foliospark.model import DocSet, flag
@@ -99,12 +100,13 @@ def hallucinations(d: DocSet, threshold: float = HALLUCINATION) -> DataFrame:
     over = F.transform(F.filter("s", lambda x: x.k < 0), lambda x: x.content)
     rest = F.transform(F.slice(F.array_sort(F.transform("s", lambda x: F.struct(x.seq.alias("seq"), x.content.alias("content")))), 1, 3), lambda x: x.content)
     ev = F.when(F.size(over) > 0, F.array_join(over, "\n")).when(F.col("image_class").isin("text_image", "table_image"), F.array_join(rest, "\n"))
-    e = g.withColumn("ev", ev).filter(F.length("ev") > 0).withColumn("distance", F.round(edit_distance(F.col("said"), F.col("ev")), 4))
+    e = computed(g, ev=ev).filter(F.length("ev") > 0)
+    e = computed(e, distance=F.round(edit_distance(F.col("said"), F.col("ev")), 4))
     a, b = table_shape(F.col("said")), table_shape(F.col("ev"))
     x, y = numbers(F.col("said")), numbers(F.col("ev"))
     reason = F.when(a.isNotNull() & b.isNotNull() & (a != b), "table shape mismatch").when((F.size(x) > 0) & (F.size(y) > 0) & (x != y), "number mismatch").when(F.col("distance") > threshold, F.concat(F.lit("distance="), F.format_string("%.2f", "distance")))
     text = F.concat(F.lit("Page "), F.col("page_number").cast("string"), F.lit(": low-confidence VLM description ("), "reason", F.lit(")."))
-    return e.withColumn("reason", reason).select("doc_id", "page_number", "elem_id", "distance", "reason", text.alias("warning"))
+    return computed(e, reason=reason).select("doc_id", "page_number", "elem_id", "distance", "reason", text.alias("warning"))
 
 
 def leaks(markdown: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def test_render_chapters_and_checks(make):
     ch = chapters.render_chapters(d.elements).orderBy("chapter").collect()
     assert [(c.title, c.file) for c in ch] == [("前言", "ch_01.md"), ("One", "ch_02.md")] and "](../images/x.png)" in ch[1].markdown
     assert chapters.toc_index(d.elements).first()["index"] == "# 目录\n\n- [前言](chapters/ch_01.md)\n- [One](chapters/ch_02.md)\n    - Deep\n"
-    w = {r.warning for r in checks.verify(d, md).collect()}
+    w = {r.warning for r in checks.headings(d.elements).collect()}
     assert w == {"Page 1: heading level jump from H1 to H3 (Deep).", "Page 1: orphan H3 heading without H2 parent (Deep)."}
 
 
