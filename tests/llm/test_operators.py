@@ -70,6 +70,15 @@ def test_simhash_groups_are_those_of_brute_force(spark):
     assert len(set(got.values())) < len(texts)
 
 
+def test_simhash_near_copies_with_rare_words_changed(spark):
+    """Near copies of the given tables whose fingerprints were 23 to 27 bits apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pairs = [(7929, 9007), (589, 6676), (290, 7658), (6859, 9443)]
+    for a, b in pairs:
+        got = {r.group_id for r in simhash.near_groups(docs.filter(docs.doc_id.isin(a, b))).collect()}
+        assert got == {a}
+
+
 def test_block_tree_finds_all_within_reach():
     tree, values = simhash.block_tree(4), np.array([0, 1, 65535, 4660, 43690], np.int64)
     at, leaf = tree.visits(values)
