@@ -234,16 +234,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the group named so keeps its rows. An empty table gives an empty result; other columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    points = materialise(prints.filter("id is not null and low is not null").groupBy("low", "high").agg(F.min("id").alias("id")), "points")
-    # A doc_id with several texts can be the least of several fingerprints: the tie is settled by treating them as one.
+    # Points are numbered in order of id, then fingerprint, since one doc_id can be the least of several fingerprints.
+    points = prints.filter("id is not null and low is not null").groupBy("low", "high").agg(F.min("id").alias("doc_id")).sort("doc_id", "low", "high")
+    points = materialise(points.withColumn("id", F.monotonically_increasing_id()), "points")
     roots = connected(near_edges(points, radius, points.count()))
-    named = points.join(roots, "id", "left").select("low", "high", F.coalesce("root", "id").alias("group_id"))
+    heads = points.select(F.col("id").alias("root"), F.col("doc_id").alias("group_id"), F.col("low").alias("__low"), F.col("high").alias("__high"))
+    named = points.join(roots, "id", "left").select("low", "high", F.coalesce("root", "id").alias("root")).join(heads, "root").drop("root")
     known = prints.join(named, ["low", "high"], "left")
     group = F.coalesce("group_id", "id")
-    return known.select(F.col("id").alias("doc_id"), "low", "high", group.alias("group_id"), (F.col("id").isNull() | (F.col("id") == group)).alias("keep"))
+    first = F.coalesce((F.col("low") == F.col("__low")) & (F.col("high") == F.col("__high")), F.lit(True))
+    return known.select(F.col("id").alias("doc_id"), "low", "high", group.alias("group_id"), (F.col("id").isNull() | ((F.col("id") == group) & first)).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns as they are, without those that :func:`near_groups` doesn't keep."""
-    gone = near_groups(docs, id_col, text_col, radius).filter("not keep").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")
+    groups = materialise(near_groups(docs, id_col, text_col, radius), "groups")
+    gone = groups.filter("not keep").select("doc_id", "low", "high").distinct()
+    # Only where a doc_id has rows of both kinds must fingerprints tell them apart.
+    mixed = gone.select("doc_id").distinct().join(groups.filter("keep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("__mixed"))
+    some = F.col("__mixed").isNotNull()
+    gone = gone.join(mixed, F.col("doc_id") == F.col("__mixed"), "left").select(F.col("doc_id").alias("__gone_id"), F.when(some, F.col("low")).alias("__low"), F.when(some, F.col("high")).alias("__high")).distinct()
+    rows = docs.join(mixed, docs[id_col].cast("long") == F.col("__mixed"), "left").withColumn("__print", F.udf(fingerprint, "low long, high long")(F.when(some, F.col(text_col).cast("string"))))
+    same = (F.col(id_col).cast("long") == F.col("__gone_id")) & F.col("__print.low").eqNullSafe(F.col("__low")) & F.col("__print.high").eqNullSafe(F.col("__high"))
+    return rows.join(gone, same, "left_anti").drop("__mixed", "__print")

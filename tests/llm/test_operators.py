@@ -79,6 +79,15 @@ def test_simhash_near_copies_with_rare_words_changed(spark):
         assert got == {a}
 
 
+def test_simhash_drops_rows_not_ids(spark):
+    a, b = "one text about rivers and their many bridges", "quite another thing: seven cats slept on warm stones"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (5, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in simhash.drop_near_duplicates(docs).collect()) == [(3, a), (5, ""), (5, b)]
+    # Two groups with the same least doc_id stay two.
+    docs = spark.createDataFrame([(5, a), (5, b), (8, a), (9, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == [(5, a), (5, b)]
+
+
 def test_block_tree_finds_all_within_reach():
     tree, values = simhash.block_tree(4), np.array([0, 1, 65535, 4660, 43690], np.int64)
     at, leaf = tree.visits(values)
