@@ -9,18 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master, and an error on any other.
+
+    An executor of a cluster would write into its own machine's temporary folder, where no other finds it.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         sc.setCheckpointDir(named)
+        _delete(spark, named, at_exit=True)
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        store.deleteOnExit(where)
+    else:
+        store.delete(where, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost executor costs nothing.
+
+    The table goes when the driver ends, or before that by :func:`discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete(spark, path, at_exit=True)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` returned and that nothing will read again; other ones stay as they are."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            _delete(df.sparkSession, path)
