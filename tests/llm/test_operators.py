@@ -88,6 +88,31 @@ def test_simhash_drops_rows_not_ids(spark):
     assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == [(5, a), (5, b)]
 
 
+@pytest.mark.parametrize(("depth", "residents", "visitors", "radius"), [(2, 40, 90, 23), (5, 7, 11, 26)])
+def test_simhash_tiles_of_any_size_join_the_same(spark, depth, residents, visitors, radius):
+    rng = np.random.default_rng(radius)
+    centres = rng.integers(0, 2, (40, 128))
+    # A third of the points share most of their bits, so that their blocks' values are hot.
+    bits = np.concatenate([np.repeat(centres, 6, 0), np.repeat(centres[:1], 120, 0)]) ^ (rng.random((360, 128)) < rng.choice([0.02, 0.1, 0.3], (360, 1)))
+    low, high = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).T
+    ids = rng.permutation(360) * 10 - 900
+    parent = list(range(360))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in zip(*np.nonzero((bits[:, None] != bits[None]).sum(2) <= radius), strict=True):
+        parent[root(i)] = root(j)
+    points = spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in zip(ids, low, high, strict=True)], "id long, low long, high long")
+    found = {r.id: r.root for r in simhash.connected(simhash.near_edges(points, radius, depth, residents, visitors)).collect()}
+    want: dict[int, list[int]] = {}
+    for k in range(360):
+        want.setdefault(root(k), []).append(int(ids[k]))
+    assert found == {i: min(g) for g in want.values() for i in g if i != min(g)} and found
+
+
 def test_block_tree_finds_all_within_reach():
     tree, values = simhash.block_tree(4), np.array([0, 1, 65535, 4660, 43690], np.int64)
     at, leaf = tree.visits(values)
