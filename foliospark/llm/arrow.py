@@ -33,3 +33,16 @@ def slices(offsets: np.ndarray, most: int):
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, min(end, n)
         first = end
+
+
+def runs(batches, keys: int):
+    """(the first ``keys`` columns, as integers, and the rows) of each run of rows that agree in them, batch by batch."""
+    for batch in batches:
+        found = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for f in found:
+            new |= f[1:] != f[:-1]
+        cuts = (np.flatnonzero(new) + 1).tolist()
+        for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if e > s:
+                yield tuple(int(f[s]) for f in found), batch.slice(s, e - s)

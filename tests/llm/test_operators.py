@@ -10,7 +10,7 @@ import pytest
 import zstandard
 
 from foliospark.llm import bpe, license_scan, packing, quality_rules, secret_scan, simhash, token_counts, url_rules, warc
-from foliospark.llm.ann import nearest
+from foliospark.llm.ann import Hashing, cell_logs, last_visited, nearest
 from foliospark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -218,6 +218,59 @@ def test_neighbours_hard_cases(spark):
     assert got == [(1, 1, 2, 0.0), (1, 2, 3, 1.0), (2, 1, 1, 0.0), (2, 2, 3, 1.0), (3, 1, 1, 1.0), (3, 2, 2, 1.0)]
 
 
+def test_neighbours_of_the_registered_query(spark):
+    """Recall against brute force on a table of six hashes' size is in test_neighbours_recall_with_many_hashes."""
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+    ids, m = np.array(list(x)), np.array(list(x.values()))
+    got: dict[int, set] = {}
+    for r in QUERIES["op4_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+        assert abs(np.linalg.norm(x[r.vec_id] - x[r.neighbour_id]) - r.distance) < 1e-5
+    assert set(got) == {i for i in x if i % 100 == 0}
+    best = {i: {int(j) for j in ids[np.argsort(((m - x[i]) ** 2).sum(1), kind="stable")][:11] if j != i} for i in got}
+    assert np.mean([len(got[i] & set(list(best[i])[:10])) / 10 for i in got]) >= 0.9
+
+
+def test_neighbours_recall_with_many_hashes(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40_000, 24)).astype(np.float32)
+    x[:13_000] = x[:1] + 0.01 * x[:13_000]
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(40_000)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    assert Hashing(24, 40_000, 1.0).hashes >= 5
+    got: dict[int, set] = {}
+    for r in nearest(df, "vec_id % 100 = 0", shard_rows=3000).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    assert len(got) == 400
+    hits = 0
+    for i, found in got.items():
+        d = ((x - x[i]).astype(np.float64) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(found & set(np.argsort(d)[:10].tolist()))
+    assert hits / 4000 >= 0.9
+
+
+def test_neighbours_of_each_length(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(30)] + [(100 + i, [float(i), 0.0, 0.0]) for i in range(20)] + [(500, [1.0] * 65)]
+    got: dict[int, list] = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=1).collect():
+        got.setdefault(r.vec_id, []).append((r.neighbour_id, r.distance))
+    assert set(got) == {i for i, _ in rows if i != 500} and all(v[0][1] == 1.0 and (i < 100) == (v[0][0] < 100) for i, v in got.items())
+
+
+def test_visits_end_where_their_probabilities_reach_success():
+    rng = np.random.default_rng(2)
+    for hashes in (1, 3, 6):
+        _, logs = cell_logs(rng.random((5, hashes)) * 4, np.array([0.05, 0.3, 0.5, 0.9, 1.4]))
+        for q, last in enumerate(last_visited(logs, 0.85)):
+            total = logs[q, 0]
+            for j in range(1, hashes):
+                total = (total[:, None] + logs[q, j][None]).ravel()
+            p = np.sort(np.exp(total))[::-1]
+            need = p[: np.searchsorted(np.cumsum(p), 0.85) + 1]
+            # Steps are of a twentieth, and each hash adds half of one at most.
+            assert np.log(need[-1]) - 0.1 * hashes <= last <= np.log(need[-1]) + 0.05 * hashes + 0.05
+
+
 def test_license_expressions():
     e = license_scan.evaluate
     assert e("MIT OR GPL-3.0-only AND Apache-2.0") == ("MIT OR GPL-3.0-only AND Apache-2.0", 0)
