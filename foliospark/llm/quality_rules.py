@@ -169,54 +169,62 @@ class Field:
         return labels
 
 
+def gradient(f: Field, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(value, derivatives by state, step and start) of the conditional log-likelihood of documents, longest first, whose lines' bins are in flat.
+
+    A document has one label for all its lines and counts ``weight`` for each of them.
+    """
+    first, longest = np.cumsum(sizes) - sizes, int(sizes[0])
+    line_weight, line_label = np.repeat(weight, sizes), np.repeat(labels, sizes)
+    scores = f.scores(flat)
+    alpha, beta = np.zeros((len(flat), 2)), np.zeros((len(flat), 2))
+    alpha[first] = scores[first] + f.start
+    for t in range(1, longest):
+        g = int(np.searchsorted(-sizes, -t, "left"))
+        at = first[:g] + t
+        alpha[at] = np.logaddexp(alpha[at - 1, 0, None] + f.step[0], alpha[at - 1, 1, None] + f.step[1]) + scores[at]
+    for t in range(longest - 1, 0, -1):
+        g = int(np.searchsorted(-sizes, -t, "left"))
+        at = first[:g] + t
+        after = beta[at] + scores[at]
+        beta[at - 1] = np.logaddexp(f.step[:, 0] + after[:, 0, None], f.step[:, 1] + after[:, 1, None])
+    z = np.logaddexp(*alpha[first + sizes - 1].T)
+    z_line = np.repeat(z, sizes)
+    p = np.exp(alpha + beta - z_line[:, None])
+    delta = -p
+    delta[np.arange(len(flat)), line_label] += 1
+    delta *= line_weight[:, None]
+    grad_state = np.stack([np.bincount(flat.ravel(), np.repeat(delta[:, y], flat.shape[1]), minlength=N_BINS) for y in (0, 1)], 1)
+    grad_step = np.zeros((2, 2))
+    inner = np.ones(len(flat), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    w = line_weight[at]
+    for a in (0, 1):
+        for b in (0, 1):
+            pair = np.exp(alpha[at - 1, a] + f.step[a, b] + scores[at, b] + beta[at, b] - z_line[at])
+            grad_step[a, b] = (w * ((line_label[at] == a) & (line_label[at] == b))).sum() - (w * pair).sum()
+    grad_start = delta[first].sum(0)
+    gold = scores[np.arange(len(flat)), line_label]
+    gold[at] += f.step[line_label[at - 1], line_label[at]]
+    gold[first] += f.start[labels]
+    return float(weight @ (np.add.reduceat(gold, first) - z)), [grad_state, grad_step, grad_start]
+
+
 def train(docs: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Fit the field to (bins of a document's lines, label of all of them) by gradient ascent (Adam) on the weighted conditional log-likelihood."""
     docs = sorted((d for d in docs if len(d[0])), key=lambda d: -len(d[0]))
     labels = np.array([y for _, y in docs])
     if len(set(labels.tolist())) < 2:
         return Field.blank()
-    n, longest = len(docs), len(docs[0][0])
     sizes = np.array([len(b) for b, _ in docs])
     flat = np.concatenate([b for b, _ in docs])
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-    line_weight = np.repeat(weight / sizes, sizes)
-    line_label = np.repeat(labels, sizes)
     f = Field(np.zeros((N_BINS, 2)), np.zeros((2, 2)), np.zeros(2))
     params = [f.state, f.step, f.start]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    doc_weight = weight / sizes
     for r in range(1, rounds + 1):
-        scores = f.scores(flat)
-        alpha, beta = np.zeros((len(flat), 2)), np.zeros((len(flat), 2))
-        alpha[first] = scores[first] + f.start
-        for t in range(1, longest):
-            g = int(np.searchsorted(-sizes, -t, "left"))
-            at = first[:g] + t
-            alpha[at] = np.logaddexp(alpha[at - 1, 0, None] + f.step[0], alpha[at - 1, 1, None] + f.step[1]) + scores[at]
-        for t in range(longest - 1, 0, -1):
-            g = int(np.searchsorted(-sizes, -t, "left"))
-            at = first[:g] + t
-            after = beta[at] + scores[at]
-            beta[at - 1] = np.logaddexp(f.step[:, 0] + after[:, 0, None], f.step[:, 1] + after[:, 1, None])
-        z = np.logaddexp(*alpha[first + sizes - 1].T)
-        z_line = np.repeat(z, sizes)
-        p = np.exp(alpha + beta - z_line[:, None])
-        delta = -p
-        delta[np.arange(len(flat)), line_label] += 1
-        delta *= line_weight[:, None]
-        grad_state = np.stack([np.bincount(flat.ravel(), np.repeat(delta[:, y], flat.shape[1]), minlength=N_BINS) for y in (0, 1)], 1)
-        grad_step = np.zeros((2, 2))
-        inner = np.ones(len(flat), bool)
-        inner[first] = False
-        at = np.flatnonzero(inner)
-        w = np.repeat(doc_weight, sizes)[at]
-        for a in (0, 1):
-            for b in (0, 1):
-                pair = np.exp(alpha[at - 1, a] + f.step[a, b] + scores[at, b] + beta[at, b] - z_line[at])
-                grad_step[a, b] = (w * ((line_label[at] == a) & (line_label[at] == b))).sum() - (w * pair).sum()
-        grad_start = delta[first].sum(0)
-        for k, g in enumerate((grad_state, grad_step, grad_start)):
+        for k, g in enumerate(gradient(f, flat, sizes, labels, weight / sizes)[1]):
             g = g - decay * params[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
@@ -237,10 +245,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             raw = [bins[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(raw, pa.binary())], ["id", "quality", "bins"])
 
-    found = texts.mapInArrow(run, "id long, quality int, bins binary").collect()
     # Rows that repeat may exceed the bound; order makes the sum, and so the fit, the same on every run.
-    found.sort(key=lambda r: (r.id, bytes(r.bins)))
-    return [(np.frombuffer(r.bins, np.int16).reshape(-1, len(FEATURES)), r.quality) for r in found[:most]]
+    found = texts.mapInArrow(run, "id long, quality int, bins binary").orderBy("id", "bins").limit(most).collect()
+    return [(np.frombuffer(r.bins, np.int16).reshape(-1, len(FEATURES)), r.quality) for r in found]
 
 
 def train_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> Field:
