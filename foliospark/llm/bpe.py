@@ -366,7 +366,10 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text): the texts of id lists. Null lists, lists with a null or unknown id, and bytes that aren't UTF-8 give null."""
+    """(doc_id, text): the texts of id lists. Null lists, lists with a null or unknown id, and bytes that aren't UTF-8 give null.
+
+    An empty list gives an empty text. Rows that repeat are decoded each, rows without an id too; an empty table gives an empty result; other columns are ignored.
+    """
     held = encoded.sparkSession.sparkContext.broadcast((read_vocabulary(vocabulary), odd_characters()))
 
     def text_of(bpe, ids):

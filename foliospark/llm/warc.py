@@ -98,7 +98,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     folder is a URI that all executors reach, by default a new one in the cluster's shared folder. Files are written when this is called.
     Null urls give records without a target, null and empty pages records of an empty body. Rows that repeat are written each. An empty
-    table writes nothing and gives an empty result; other columns are ignored. Pages of any length are written whole.
+    table writes nothing and gives an empty result; other columns are ignored. Pages of any length are written whole. A file of fewer than 8 records, or of less
+    than 16 KB of them, is too little to build a dictionary from: its records are compressed without one, and it has no leading frame.
     """
     spark = pages.sparkSession
     target = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
