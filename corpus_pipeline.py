@@ -1,6 +1,9 @@
 """From raw documents to packed training windows: quality rules, near-duplicate removal, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir). What it returns is written as Parquet and read again as the next one's docs.
+
+All stages take rows with nulls in any column, repeated rows, ties, texts of any length, empty tables and more columns of any name, and keep all columns and
+their order; only packing returns its own. What becomes of such rows each stage says.
 """
 
 from __future__ import annotations
@@ -18,22 +21,25 @@ from foliospark.runtime import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are mostly boilerplate go."""
+    """Documents that are mostly boilerplate go, null, empty and blank texts with them. Rows that repeat are judged each. Of an empty table nothing comes."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the least doc_id.
+
+    Rows without a doc_id, and texts that are null or without a word, stay. Rows that share doc_id and text are one document and stay or go together.
+    """
     return drop_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; no document goes."""
+    """Secrets are masked, and n_chars follows; no row goes. Null and empty texts stay as they are."""
     return redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The window and step group of each piece of each document."""
+    """The window and step group of each piece of each document. Null and empty texts have a row without a window; rows that repeat are packed each."""
     return pack(token_counts(docs), docs.count())
 
 
