@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.let import computed, let
 from foliospark.functions.tables import SEPARATOR
 from foliospark.functions.text import for_comparison, lines, py_strip, without_space
 
@@ -17,7 +18,8 @@ CHUNK = 5000
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of the normal forms against the longer one; 0 for two empty texts. Texts over 5000 characters are compared by as many proportional pieces as that takes, so that cost stays linear."""
-    return _distance(for_comparison(a), for_comparison(b))
+    # Normal forms are used many times over, and are worked out once.
+    return let(F.struct(for_comparison(a).alias("x"), for_comparison(b).alias("y")), lambda s: _distance(s["x"], s["y"]))
 
 
 def _distance(x: Column, y: Column) -> Column:
@@ -56,8 +58,8 @@ def text_metrics(pairs: DataFrame, by: str = "document_name") -> DataFrame:
     """(by, edit_distance, char_precision, char_recall, char_f1) of pairs (by, output, expected)."""
     from foliospark.operators.ocr import char_overlap
 
-    p = pairs.select(by, for_comparison(F.coalesce("output", F.lit(""))).alias("o"), for_comparison(F.coalesce("expected", F.lit(""))).alias("e"))
-    p = p.withColumn("common", F.round(char_overlap(F.col("o"), F.col("e")) * F.length("o")).cast("long"))
+    p = computed(pairs.select(by, "output", "expected"), o=for_comparison(F.coalesce("output", F.lit(""))), e=for_comparison(F.coalesce("expected", F.lit("")))).select(by, "o", "e")
+    p = computed(p, common=F.round(char_overlap(F.col("o"), F.col("e")) * F.length("o")).cast("long"))
     pr, rc, f1 = multiset_scores(F.col("common"), F.length("o"), F.length("e"))
     none = (F.length("o") == 0) & (F.length("e") == 0)
     return p.select(by, _distance(F.col("o"), F.col("e")).alias("edit_distance"), F.when(none, 1.0).otherwise(pr).alias("char_precision"), F.when(none, 1.0).otherwise(rc).alias("char_recall"), F.when(none, 1.0).otherwise(f1).alias("char_f1"))

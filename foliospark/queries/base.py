@@ -19,9 +19,14 @@ el AS (SELECT doc_id, CAST(pos // 40 + 1 AS INTEGER) AS page_number, CAST(pos AS
 #: The same with headings: level 1 for the shortest lines that aren't empty, 2 for short ones.
 HEADED = GRID + """,
 hd AS (SELECT *, CASE WHEN length(content) BETWEEN 1 AND 12 THEN 1 WHEN length(content) BETWEEN 13 AND 40 THEN 2 END AS lv FROM el)"""
-#: Lines numbered ``page.line`` on odd documents and ``line`` on even ones.
+#: Lines numbered ``page.line`` on odd documents and ``line`` on every other even one; on the rest every second line opens a numbered part.
 NUMBERED = GRID + """,
-nu AS (SELECT doc_id, page_number, seq, (CASE WHEN doc_id % 2 = 1 THEN page_number || '.' || CAST(seq + 1 AS BIGINT) ELSE CAST(CAST(seq + 1 AS BIGINT) AS VARCHAR) END) || ' ' || substr(content, 1, 50) AS content FROM el)"""
+nu AS (SELECT doc_id, page_number, seq, (CASE WHEN doc_id % 2 = 1 THEN page_number || '.' || CAST(seq + 1 AS BIGINT) || ' ' WHEN doc_id % 4 = 2 THEN CAST(CAST(seq + 1 AS BIGINT) AS VARCHAR) || ' ' ELSE '' END) || content AS content FROM el
+  UNION ALL SELECT doc_id, page_number, seq - 0.5, CAST(seq AS BIGINT) // 2 + 1 || ' Part of ' || doc_id FROM el WHERE doc_id % 4 = 0 AND CAST(seq AS BIGINT) % 2 = 0)"""
+#: The same with a running head and a number at the foot of each page.
+RUNNING = GRID + """,
+rn AS (SELECT doc_id, page_number, seq, content, y0, y1 FROM el UNION ALL SELECT DISTINCT doc_id, page_number, page_number * 40 - 40.5::DOUBLE, 'Report ' || doc_id % 7 || ', sheet ' || page_number || CASE WHEN doc_id % 3 = 0 AND page_number % 3 = 0 THEN ' (appendix)' ELSE '' END, 8.0::DOUBLE, 20.0::DOUBLE FROM el
+  UNION ALL SELECT DISTINCT doc_id, page_number, page_number * 40 - 0.5::DOUBLE, '- ' || page_number || ' -', 770.0::DOUBLE, 782.0::DOUBLE FROM el)"""
 BOXES = """bx AS (SELECT vec_id, label AS doc_id, CAST(vec_id % 5 + 1 AS INTEGER) AS page_number, CAST(vec_id AS DOUBLE) AS seq, CASE vec_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'image' ELSE 'text' END AS type,
   300 + 1000 * CAST(embedding[1] AS DOUBLE) AS x0, 400 + 1000 * CAST(embedding[2] AS DOUBLE) AS y0, 300 + 1000 * CAST(embedding[1] AS DOUBLE) + 20 + 1000 * abs(CAST(embedding[3] AS DOUBLE)) AS x1, 400 + 1000 * CAST(embedding[2] AS DOUBLE) + 20 + 1000 * abs(CAST(embedding[4] AS DOUBLE)) AS y1 FROM embeddings)"""
 
@@ -40,11 +45,23 @@ def headed(spark: SparkSession, sf_dir: str) -> DocSet:
     return d.with_elements(d.elements.withColumn("heading_level", F.when(n.between(1, 12), 1).when(n.between(13, 40), 2)))
 
 
+def running(spark: SparkSession, sf_dir: str) -> DocSet:
+    d = grid(spark, sf_dir)
+    n = F.col("page_number")
+    late = F.when((F.col("doc_id") % 3 == 0) & (n % 3 == 0), " (appendix)").otherwise("")
+    edge = lambda seq, text, y: d.pages.select("doc_id", "page_number", seq.cast("double").alias("seq"), F.lit("text").alias("type"), text.alias("content"), F.lit("native").alias("source"), G.box(F.lit(72.0), F.lit(y), F.lit(300.0), F.lit(y + 12)).alias("bbox"))
+    head = edge(n * 40 - 40.5, F.concat(F.lit("Report "), (F.col("doc_id") % 7).cast("string"), F.lit(", sheet "), n.cast("string"), late), 8.0)
+    foot = edge(n * 40 - 0.5, F.concat(F.lit("- "), n.cast("string"), F.lit(" -")), 770.0)
+    return d.with_elements(d.elements.unionByName(complete(head)).unionByName(complete(foot)))
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DocSet:
     d = grid(spark, sf_dir)
     line = (F.col("seq") + 1).cast("long").cast("string")
-    lead = F.when(F.col("doc_id") % 2 == 1, F.concat(F.col("page_number").cast("string"), F.lit("."), line)).otherwise(line)
-    return d.with_elements(d.elements.withColumn("content", F.concat(lead, F.lit(" "), F.substring("content", 1, 50))))
+    lead = F.when(F.col("doc_id") % 2 == 1, F.concat(F.col("page_number").cast("string"), F.lit("."), line, F.lit(" "))).when(F.col("doc_id") % 4 == 2, F.concat(line, F.lit(" "))).otherwise("")
+    part = F.concat((F.floor(F.col("seq") / 2) + 1).cast("string"), F.lit(" Part of "), F.col("doc_id").cast("string"))
+    parts = d.elements.filter("doc_id % 4 = 0 and seq % 2 = 0").select("doc_id", "page_number", (F.col("seq") - 0.5).alias("seq"), F.lit("text").alias("type"), part.alias("content"), F.lit("native").alias("source"), "bbox")
+    return d.with_elements(d.elements.withColumn("content", F.concat(lead, F.col("content"))).unionByName(complete(parts)))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

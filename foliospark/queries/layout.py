@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import geometry as G
 from foliospark.model import PAGE, complete
 from foliospark.operators import chapter, code_block, content_value, header_footer, image, line_unwrap, metadata, ocr, page, reading_order, vlm_review
-from foliospark.queries.base import BOXES, GRID, NUMBERED, box_docset, grid, headed, numbered, table
+from foliospark.queries.base import BOXES, GRID, NUMBERED, RUNNING, box_docset, grid, headed, numbered, running, table
 
 
 def font_mode(spark, sf_dir):
@@ -37,28 +37,24 @@ _HEADING_FONTS = f"WITH {_HC} SELECT doc_id, fname AS name, fsize AS size, bold,
 
 
 def repeated_edges(spark, sf_dir):
-    """H2-H3: what repeats at the top or bottom of pages. Lines are cut to their first word, so that some do."""
-    d = grid(spark, sf_dir)
-    d = d.with_elements(d.elements.withColumn("content", F.substring_index("content", " ", 1)))
-    return header_footer.repeated_edges(d, threshold=0.2).select("doc_id", "side", "text", "pages")
+    """H2-H3: what repeats at the top or bottom of pages that have a running head and a number."""
+    return header_footer.repeated_edges(running(spark, sf_dir)).select("doc_id", "side", "text", "pages")
 
 
-_EDGES = GRID + r""",
+_EDGES = RUNNING + r""",
 pg AS (SELECT doc_id, max(page_number) AS n, min(page_number) AS f FROM el GROUP BY doc_id),
-ed AS (SELECT doc_id, page_number, CASE WHEN (y0 + y1) / 2 < 792 * 0.08 THEN 'top' WHEN (y0 + y1) / 2 > 792 * (1 - 0.08) THEN 'bottom' END AS side, regexp_replace(regexp_replace(string_split(content, ' ')[1], '^\s+|\s+$', '', 'g'), '\d+', '#', 'g') AS text FROM el)"""
-_REPEATED = f"WITH {_EDGES} SELECT doc_id, side, text, count(DISTINCT page_number) AS pages FROM ed JOIN pg USING (doc_id) WHERE side IS NOT NULL AND n >= 2 GROUP BY doc_id, side, text, n HAVING count(DISTINCT page_number) >= greatest(2, floor(n * 0.2) + 1)"
+ed AS (SELECT doc_id, page_number, CASE WHEN (y0 + y1) / 2 < 792 * 0.08 THEN 'top' WHEN (y0 + y1) / 2 > 792 * (1 - 0.08) THEN 'bottom' END AS side, regexp_replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\d+', '#', 'g') AS text FROM rn)"""
+_REPEATED = f"WITH {_EDGES} SELECT doc_id, side, text, count(DISTINCT page_number) AS pages FROM ed JOIN pg USING (doc_id) WHERE side IS NOT NULL AND n >= 2 GROUP BY doc_id, side, text, n HAVING count(DISTINCT page_number) >= greatest(2, floor(n * 0.5) + 1)"
 
 
 def header_footer_removal(spark, sf_dir):
     """H4-H5: how many elements of each document go, and how many of the first page's are kept for its identity."""
-    d = grid(spark, sf_dir)
-    d = d.with_elements(d.elements.withColumn("content", F.substring_index("content", " ", 1)))
-    left = header_footer.strip_headers_footers(d, threshold=0.2).elements
+    left = header_footer.strip_headers_footers(running(spark, sf_dir)).elements
     return left.groupBy("doc_id").agg(F.count("*").alias("left"), F.sum(F.coalesce("retained_identity", F.lit(False)).cast("long")).alias("retained"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
-_REMOVAL = f"""WITH {_EDGES}, rp AS (SELECT doc_id, side, text FROM ed JOIN pg USING (doc_id) WHERE side IS NOT NULL AND n >= 2 GROUP BY doc_id, side, text, n HAVING count(DISTINCT page_number) >= greatest(2, floor(n * 0.2) + 1)),
-e AS (SELECT el.doc_id, el.page_number, seq, string_split(content, ' ')[1] AS c, y0, y1, CASE WHEN (y0 + y1) / 2 < 792 * 0.08 THEN 'top' WHEN (y0 + y1) / 2 > 792 * (1 - 0.08) THEN 'bottom' END AS side FROM el),
+_REMOVAL = f"""WITH {_EDGES}, rp AS (SELECT doc_id, side, text FROM ed JOIN pg USING (doc_id) WHERE side IS NOT NULL AND n >= 2 GROUP BY doc_id, side, text, n HAVING count(DISTINCT page_number) >= greatest(2, floor(n * 0.5) + 1)),
+e AS (SELECT doc_id, page_number, seq, content AS c, y0, y1, CASE WHEN (y0 + y1) / 2 < 792 * 0.08 THEN 'top' WHEN (y0 + y1) / 2 > 792 * (1 - 0.08) THEN 'bottom' END AS side FROM rn),
 g AS (SELECT e.*, pg.n, pg.f, rp.doc_id IS NOT NULL AS rep, row_number() OVER (PARTITION BY e.doc_id, e.page_number ORDER BY (y0 + y1) / 2 DESC, y1 DESC, seq) AS low,
   regexp_matches(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '^[—\\s-]*\\d{{1,5}}[—\\s-]*$') OR regexp_matches(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '(?i)^[—\\s-]*[cdilmvx]+[—\\s-]*$') OR regexp_matches(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '^[-–—]\\s*\\d+\\s*[-–—]$') AS num
   FROM e JOIN pg USING (doc_id) LEFT JOIN rp ON rp.doc_id = e.doc_id AND rp.side = e.side AND rp.text = regexp_replace(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '\\d+', '#', 'g')),

@@ -49,7 +49,7 @@ def toc_blocks(spark, sf_dir):
     """Tables of contents, made of each document's lines with a number behind."""
     d = grid(spark, sf_dir)
     k = F.col("seq").cast("long")
-    c = F.when(k == 0, "Contents").when(k < 6, F.concat(F.substring("content", 1, 30), F.lit(" .... "), k.cast("string"))).otherwise(F.col("content"))
+    c = F.when(k == 0, "Contents").when(k < 6, F.concat("content", F.lit(" .... "), k.cast("string"))).otherwise(F.col("content"))
     e = chapter.toc_blocks(d.with_elements(d.elements.withColumn("content", c))).elements
     return e.groupBy("doc_id").agg(F.sum(F.coalesce("toc_entry", F.lit(False)).cast("long")).alias("entries"), F.max(F.coalesce("toc_header", F.lit(False))).alias("header"))
 
@@ -76,9 +76,9 @@ def caption_assignment(spark, sf_dir):
 
 
 def formula_notation(spark, sf_dir):
-    """The first line of every document with notation put in."""
+    """Every document with notation put in before each line."""
     d = table(spark, sf_dir, "documents")
-    c = F.concat(F.lit("at 30℃, H₂SiCl₂ and 200μL ≥ 5 "), F.substring_index("text", "\n", 1))
+    c = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("at 30℃, H₂SiCl₂ and 200μL ≥ 5 "), x)), "\n")
     return d.select("doc_id", F.md5(formula.formula_column(c)).alias("digest"))
 
 

@@ -92,26 +92,27 @@ SELECT doc_id, CAST(sum(CAST(kind = 'figure' AS BIGINT)) AS BIGINT) AS figures,
 
 
 def char_multiset_overlap(spark, sf_dir):
-    """How much of each benchmark passage's characters the document of the same number has."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.without_space(F.col("text")).alias("d"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), X.without_space(F.col("text")).alias("b"))
-    return b.join(d, "doc_id").select("doc_id", F.round(char_overlap(F.col("b"), F.col("d")), 6).alias("overlap"))
+    """How much of a benchmark passage's characters each document has; the passages take turns."""
+    passages = table(spark, sf_dir, "benchmark")
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % passages.count()).alias("item_id"), X.without_space(F.col("text")).alias("d"))
+    b = passages.select("item_id", X.without_space(F.col("text")).alias("b"))
+    return d.join(b, "item_id").select("doc_id", F.round(char_overlap(F.col("b"), F.col("d")), 6).alias("overlap"))
 
 
-_OVERLAP = r"""WITH b AS (SELECT item_id AS doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents),
+_OVERLAP = r"""WITH b AS (SELECT doc_id, regexp_replace(b.text, '\s+', '', 'g') AS t FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents),
 bc AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, '')) AS c FROM b) GROUP BY ALL), dc AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, '')) AS c FROM d) GROUP BY ALL)
 SELECT doc_id, round(sum(least(bc.n, coalesce(dc.n, 0))) / sum(bc.n), 6) AS overlap FROM bc JOIN d USING (doc_id) LEFT JOIN dc USING (doc_id, c) GROUP BY doc_id"""
 
 
 def language_vote(spark, sf_dir):
-    """I4: ideographs and numbers of every document against its neighbour's."""
+    """I4: ideographs and numbers of every document against its neighbour's; the last one has none."""
     d = table(spark, sf_dir, "documents")
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return d.join(n, "doc_id").select("doc_id", is_chinese(F.col("text")).alias("chinese"), F.size(X.numbers(F.col("text"))).alias("numbers"), number_mismatch(F.col("text"), F.col("other")).alias("mismatch"))
+    return d.join(n, "doc_id", "left").select("doc_id", is_chinese(F.col("text")).alias("chinese"), F.size(X.numbers(F.col("text"))).alias("numbers"), F.coalesce(number_mismatch(F.col("text"), F.col("other")), F.lit(False)).alias("mismatch"))
 
 
 _VOTE = r"""SELECT d.doc_id, len(regexp_extract_all(d.text, '[㐀-䶿一-鿿豈-﫿]')) >= greatest(12, 2 * len(regexp_extract_all(d.text, '[A-Za-z]'))) AS chinese, CAST(len(regexp_extract_all(d.text, '\d+(?:\.\d+)?')) AS INTEGER) AS numbers,
- len(regexp_extract_all(d.text, '\d+(?:\.\d+)?')) > 0 AND len(regexp_extract_all(o.text, '\d+(?:\.\d+)?')) > 0 AND regexp_extract_all(d.text, '\d+(?:\.\d+)?') <> regexp_extract_all(o.text, '\d+(?:\.\d+)?') AS mismatch FROM documents d JOIN documents o ON o.doc_id = d.doc_id + 1"""
+ coalesce(len(regexp_extract_all(d.text, '\d+(?:\.\d+)?')) > 0 AND len(regexp_extract_all(o.text, '\d+(?:\.\d+)?')) > 0 AND regexp_extract_all(d.text, '\d+(?:\.\d+)?') <> regexp_extract_all(o.text, '\d+(?:\.\d+)?'), FALSE) AS mismatch FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1"""
 
 
 def warning_summary(spark, sf_dir):
