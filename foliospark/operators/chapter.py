@@ -57,7 +57,7 @@ def toc_blocks(d: DocSet) -> DocSet:
     named = F.lower(F.regexp_replace(F.regexp_replace("content", r"(?U)^\s{0,3}#{1,6}\s*|\*\*", ""), r"(?U)\s+", "")).isin(*_TOC_NAMES)
     pages = d.elements.filter((F.col("type") == "text") & named).select("doc_id", "page_number").distinct()
     on = ["doc_id", "page_number"]
-    marked = fold(d.elements.join(pages, on, "left_semi"), tuple(on), mark_toc).select(*d.elements.columns)
+    marked = fold(d.elements.join(pages, on, "left_semi"), tuple(on), mark_toc, columns=("type", "content", "heading_level", "toc_header", "toc_entry")).select(*d.elements.columns)
     return d.with_elements(d.elements.join(pages, on, "left_anti").unionByName(marked))
 
 
@@ -322,7 +322,7 @@ def heading_shape(d: DocSet) -> DocSet:
     e = d.elements.join(pages, on, "left_semi").withColumn("__f", F.struct("font.name", "font.size", "font.bold"))
     e = e.join(cand, (F.col("doc_id") == F.col("__rd")) & F.col("__f").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf", "__f")
     e = e.join(d.pages.groupBy("doc_id").agg(F.min("page_number").alias("__first")), "doc_id", "left")
-    shaped = fold(e, tuple(on), _page_rules).select(*d.elements.columns)
+    shaped = fold(e, tuple(on), _page_rules, columns=("type", "content", "heading_level", "skip_render", "skip_reason", "bbox", "spans", "elem_id", "__candidate", "__first")).select(*d.elements.columns)
     return d.with_elements(d.elements.join(pages, on, "left_anti").unionByName(shaped))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,10 @@ def _gap(a: dict, b: dict) -> float:
     return max(q[1] - p[3], p[1] - q[3], 0.0)
 
 
+#: What scoring reads and writes.
+_READ = ("type", "content", "bbox", "heading_level", "caption", "source", "skip_render", "skip_reason", "value_score", "value_reason", "skipped", "needs_vlm", "text_heavy", "description", "evidence_text", "__pw", "__ph", "__left", "__right", "__twice")
+
+
 class _Page:
     def __init__(self, rows: list[dict]):
         self.rows = rows
@@ -68,13 +73,26 @@ class _Page:
         self.left = first["__left"] if first.get("__left") is not None else 0.0
         self.right = first["__right"] if first.get("__right") is not None else self.width
 
+        # Texts in sight know the ones before and after them, and leave the chain when they are dropped.
+        self.chain: dict[int, list[int | None]] = {}
+        before = None
+        for k, r in enumerate(rows):
+            if r["type"] == "text" and not r.get("skip_render"):
+                self.chain[k] = [before, None]
+                if before is not None:
+                    self.chain[before][1] = k
+                before = k
+        self.images = np.array([_b(r) for r in rows if r["type"] == "image"], np.float64).reshape(-1, 4).T
+
     def near(self, k: int, step: int) -> int | None:
-        k += step
-        while 0 <= k < len(self.rows):
-            if self.rows[k]["type"] == "text" and not self.rows[k].get("skip_render"):
-                return k
-            k += step
-        return None
+        return self.chain[k][step > 0]
+
+    def drop(self, k: int) -> None:
+        before, after = self.chain.pop(k)
+        if before is not None:
+            self.chain[before][1] = after
+        if after is not None:
+            self.chain[after][0] = before
 
     def share(self, e: dict) -> float:
         x0, _, x1, _ = _b(e)
@@ -82,12 +100,9 @@ class _Page:
 
     def images_near(self, e: dict) -> bool:
         x0, y0, x1, y1 = _b(e)
-        n = 0
-        for i in self.rows:
-            if i["type"] == "image":
-                a0, b0, a1, b1 = _b(i)
-                n += min(abs(b0 - y1), abs(y0 - b1), abs((b0 + b1 - y0 - y1) / 2)) <= 80 or min(a1, x1) - max(a0, x0) >= 40
-        return n >= 2
+        a0, b0, a1, b1 = self.images
+        close = (np.abs(b0 - y1) <= 80) | (np.abs(y0 - b1) <= 80) | (np.abs((b0 + b1 - y0 - y1) / 2) <= 80)
+        return int((close | (np.minimum(a1, x1) - np.maximum(a0, x0) >= 40)).sum()) >= 2
 
     def signature(self, k: int, text: str) -> bool:
         before, after = self.near(k, -1), self.near(k, 1)
@@ -167,6 +182,7 @@ def score_page(rows: list[dict], threshold: float = THRESHOLD, gray: float = GRA
             e["value_score"], e["value_reason"] = round(score, 3), ",".join(why) or "body_text"
             if score < threshold or score < threshold + gray and ask is not None and not ask(_text(e), e["value_reason"]):
                 e.update(skip_render=True, skip_reason="low_value")
+                page.drop(k)
         elif e["type"] == "image":
             x0, y0, x1, y1 = _b(e)
             if e.get("skipped"):
@@ -193,4 +209,4 @@ def content_value(d: DocSet, threshold: float = THRESHOLD, gray: float = GRAY, a
     band = body_band(d).withColumnsRenamed({"body_left": "__left", "body_right": "__right"})
     twice = repeated_assets(d.elements).select(*on, "xref", F.lit(True).alias("__twice"))
     e = d.elements.join(page, on, "left").join(band, on, "left").join(twice, [*on, "xref"], "left")
-    return d.with_elements(fold(e, tuple(on), lambda rows: score_page(rows, threshold, gray, ask)).select(*d.elements.columns))
+    return d.with_elements(fold(e, tuple(on), lambda rows: score_page(rows, threshold, gray, ask), columns=_READ).select(*d.elements.columns))

@@ -1,7 +1,8 @@
 """Rules that read their own results run over the rows of one page or document at a time.
 
 Rows are hashed and sorted by their keys once, and a partition's groups are taken one after the other out of its Arrow
-batches: a group costs what its rows do, however many there are.
+batches: a group costs what its rows do, however many there are. Only the columns a rule works on become Python values; what a row has besides
+stays in Arrow and follows it.
 """
 
 from __future__ import annotations
@@ -10,35 +11,92 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from foliospark.model import PLACE
 
 _OUT = 4096
+#: The number of the row whose other columns a row of the result has.
+AT = "__at"
 
 
-def fold(df: DataFrame, keys: tuple[str, ...], rule: Callable[[list[dict]], list[dict]], order: tuple[str, ...] = PLACE, schema=None) -> DataFrame:
-    """rule() over each group's rows as dicts, in order; what it returns has the schema of df, unless another is given."""
+def fold(df: DataFrame, keys: tuple[str, ...], rule: Callable[[list[dict]], list[dict]], order: tuple[str, ...] = PLACE, schema=None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """rule() over each group's rows as dicts, in order; what it returns has the schema of df, unless another is given.
+
+    columns, if given, are those the rule reads or writes, besides keys and order. The others go with the row that a result was copied or changed from.
+    """
+    if columns:
+        return _fold_some(df, keys, rule, order, columns)
     out = schema or df.schema
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        group: list[dict] = []
-        at, done = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if key != at:
-                    if group:
-                        done += rule(group)
-                    group, at = [], key
-                    if len(done) >= _OUT:
-                        yield pa.RecordBatch.from_pylist(done, schema=arrow)
-                        done = []
-                group.append(row)
-        if group:
+        done: list[dict] = []
+        for group in _groups(((batch.to_pylist(), 0) for batch in batches), keys):
             done += rule(group)
+            if len(done) >= _OUT:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                done = []
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=arrow)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+
+
+def _groups(parts, keys: tuple[str, ...]):
+    """The rows of each group; parts are (rows, number of the first)."""
+    group: list[dict] = []
+    at = None
+    for rows, first in parts:
+        for number, row in enumerate(rows, first):
+            row[AT] = number
+            key = tuple(row[k] for k in keys)
+            if key != at:
+                if group:
+                    yield group
+                group, at = [], key
+            group.append(row)
+    if group:
+        yield group
+
+
+def _fold_some(df: DataFrame, keys, rule, order, columns) -> DataFrame:
+    seen = [c for c in df.columns if c in {*keys, *order, *columns}]
+    rest = [c for c in df.columns if c not in seen]
+    rows = df.select(*seen, F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__one")).alias("__rest"))
+    part = StructType([rows.schema[c] for c in seen])
+    arrow = to_arrow_schema(part)
+
+    def run(batches):
+        held: list[pa.Array] = []
+        start = end = 0
+
+        def parts():
+            nonlocal end
+            for batch in batches:
+                first, end = end, end + batch.num_rows
+                held.append(batch.column(len(seen)))
+                yield batch.select(range(len(seen))).to_pylist(), first
+
+        def written(done):
+            """The rows of done with what goes with them; what no later row can need is let go."""
+            nonlocal start
+            found = pa.concat_arrays(held).take(pa.array([r[AT] - start for r in done], pa.int64()))
+            while len(held) > 1 and start + len(held[0]) <= done[-1][AT]:
+                start += len(held.pop(0))
+            made = pa.RecordBatch.from_pylist(done, schema=arrow)
+            return pa.RecordBatch.from_arrays([*made.columns, found], [*seen, "__rest"])
+
+        done: list[dict] = []
+        for group in _groups(parts(), keys):
+            done += rule(group)
+            if len(done) >= _OUT:
+                yield written(done)
+                done = []
+        if done:
+            yield written(done)
+
+    folded = rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType([*part.fields, StructField("__rest", rows.schema["__rest"].dataType)]))
+    return folded.select(*(F.col(c if c in seen else f"__rest.`{c}`").alias(c) for c in df.columns))

@@ -50,10 +50,7 @@ def merge_split_tables(rows: list[dict]) -> list[dict]:
     pages: dict[int, list[dict]] = {}
     for r in rows:
         pages.setdefault(r["page_number"], []).append(r)
-    # Pages without elements stand in as rows of no type, so that they can be passed over.
-    order = sorted(pages)
-    for number in range(order[0], order[-1] + 1) if order else ():
-        pages.setdefault(number, [])
+    # A page without elements is passed over, so it needn't be here.
     order = sorted(pages)
     live = {n: [r for r in pages[n] if r["type"] is not None] for n in order}
     tables = {n: [r for r in live[n] if r["type"] == "table"] for n in order}
@@ -92,7 +89,7 @@ def merge_cross_page(d: DocSet) -> DocSet:
     """merge_split_tables() over documents with tables on two pages at least; the rest isn't moved."""
     several = d.elements.filter("type = 'table'").groupBy("doc_id").agg(F.count_distinct("page_number").alias("n")).filter("n > 1").select("doc_id")
     e = d.elements.join(several, "doc_id", "left_semi").join(d.pages.select("doc_id", "page_number", F.col("height").alias("__height")), ["doc_id", "page_number"], "left")
-    merged = fold(e, ("doc_id",), merge_split_tables).select(*d.elements.columns)
+    merged = fold(e, ("doc_id",), merge_split_tables, columns=("type", "content", "bbox", "rows", "merged_from", "skip_render", "__height")).select(*d.elements.columns)
     return d.with_elements(d.elements.join(several, "doc_id", "left_anti").unionByName(merged))
 
 
