@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.arrow import slices, utf8
@@ -43,6 +43,8 @@ RADIUS = 23
 DEPTH = 4
 #: Of a tile. Residents are held in memory (about 40 bytes each), visitors stream.
 TILE_RESIDENTS, TILE_VISITORS = 1_000_000, 4_000_000
+#: Bits that tell which rows may be among those that go, 8 MB in buckets of 4 KB, whatever their number.
+MARKS, _BUCKET = 1 << 26, 1 << 15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _WORD = re.compile(r"\w+")
 _SLICE = 1 << 20
@@ -361,14 +363,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return known.select(F.col("id").alias("doc_id"), "low", "high", group.alias("group_id"), (F.col("id").isNull() | ((F.col("id") == group) & first)).alias("keep"))
 
 
+def _hashed(ids: Column) -> tuple[Column, Column]:
+    """(bucket, place in it) of an id in a bitmap of MARKS bits."""
+    h = F.pmod(F.xxhash64(ids), F.lit(MARKS))
+    return F.floor(h / _BUCKET).cast("int"), (h % _BUCKET).cast("int")
+
+
+def _marked(docs: DataFrame, ids: Column, bits: DataFrame) -> DataFrame:
+    """docs with a column ``__marked``: whether the bit of its id is set."""
+    bucket, place = _hashed(ids)
+    rows = docs.join(F.broadcast(bits), bucket == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, place % 8).bitwiseAND(F.lit(1))
+    return rows.withColumn("__marked", F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns as they are, without those that :func:`near_groups` doesn't keep."""
+    """The rows of docs, all columns as they are, without those that :func:`near_groups` doesn't keep.
+
+    Texts of documents that stay aren't shuffled: a bitmap of the ids that go, of a fixed size and so broadcast, tells most rows that they aren't
+    among them. Only the rest are joined with those ids.
+    """
     groups = materialise(near_groups(docs, id_col, text_col, radius), "groups")
     gone = groups.filter("not keep").select("doc_id", "low", "high").distinct()
-    # Only where a doc_id has rows of both kinds must fingerprints tell them apart.
-    mixed = gone.select("doc_id").distinct().join(groups.filter("keep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("__mixed"))
+    bucket, place = _hashed(F.col("doc_id"))
+    bits = gone.select(bucket.alias("__bucket"), place.alias("__place")).groupBy("__bucket").agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    own = F.col(f"`{id_col}`").cast("long")
+    sure, rows = (_marked(docs, own, bits).filter(F.col("__marked") == m).drop("__marked") for m in (False, True))
+    # Only where a doc_id has rows of both kinds must fingerprints tell them apart. Joins are the same at any size.
+    mixed = gone.select("doc_id").distinct().join(groups.filter("keep").select("doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("__mixed"))
     some = F.col("__mixed").isNotNull()
-    gone = gone.join(mixed, F.col("doc_id") == F.col("__mixed"), "left").select(F.col("doc_id").alias("__gone_id"), F.when(some, F.col("low")).alias("__low"), F.when(some, F.col("high")).alias("__high")).distinct()
-    rows = docs.join(mixed, docs[id_col].cast("long") == F.col("__mixed"), "left").withColumn("__print", F.udf(fingerprint, "low long, high long")(F.when(some, F.col(text_col).cast("string"))))
-    same = (F.col(id_col).cast("long") == F.col("__gone_id")) & F.col("__print.low").eqNullSafe(F.col("__low")) & F.col("__print.high").eqNullSafe(F.col("__high"))
-    return rows.join(gone, same, "left_anti").drop("__mixed", "__print")
+    gone = gone.join(mixed.hint("merge"), F.col("doc_id") == F.col("__mixed"), "left").select(F.col("doc_id").alias("__gone_id"), F.when(some, F.col("low")).alias("__low"), F.when(some, F.col("high")).alias("__high")).distinct()
+    rows = rows.join(mixed.hint("merge"), own == F.col("__mixed"), "left").withColumn("__print", F.udf(fingerprint, "low long, high long")(F.when(some, F.col(f"`{text_col}`").cast("string"))))
+    same = (own == F.col("__gone_id")) & F.col("__print.low").eqNullSafe(F.col("__low")) & F.col("__print.high").eqNullSafe(F.col("__high"))
+    return sure.unionByName(rows.join(gone.hint("merge"), same, "left_anti").drop("__mixed", "__print"))
