@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.arrow import id_and_text, utf8
+from foliospark.llm.arrow import id_and_text, slices, utf8
 
 LEAST = 16
 MASK = "[secret]"
@@ -58,6 +58,8 @@ ALLOWED_PART = r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F
 #: So is what is hexadecimal and follows one of these words within CONTEXT characters.
 ALLOWED_BEFORE = r"(?:sha-?(?:1|224|256|384|512)|md5|checksum|integrity|commit|revision|etag|uuid)\b[\s:=\"'(#-]*$"
 CONTEXT = 24
+#: Bytes looked at together, of a text at least.
+_SLICE = 2 << 20
 
 _IN = np.zeros(256, bool)
 _IN[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = True
@@ -120,6 +122,13 @@ class Scanner:
     def batch(self, texts: pa.Array) -> list[tuple[int, int, int, str, float]]:
         """(row, start byte, end byte, class, entropy), starts relative to the row, in order."""
         data, offsets = utf8(texts)
+        found = []
+        for first, end in slices(offsets, _SLICE):
+            part = self._rows(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
+            found += [(row + first, *rest) for row, *rest in part]
+        return found
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, str, float]]:
         if not len(data):
             return []
         # Borders are the bytes outside the alphabet, and the joints between rows.
