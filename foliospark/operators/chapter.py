@@ -16,7 +16,7 @@ from foliospark.functions.text import first_line, py_strip, truncate
 from foliospark.model import DocSet, flag
 from foliospark.operators.fold import fold
 from foliospark.operators.metadata import body_fonts, font_stats, heading_candidates
-from foliospark.runtime import materialise
+from foliospark.runtime import discard, materialise
 
 ISOLATION, SAME_SIZE = 1.4, 0.5
 COHERENT_MOST, ORPHANS, ORPHAN_DEPTH, FALLBACK_BATCH, FALLBACK_DENSITY = 8, 5, 3, 40, 8
@@ -362,10 +362,13 @@ def chapters(d: DocSet, ask: Callable[[list[dict]], dict[int, int]] | None = Non
     Rules look at a document's elements from several sides, so each one's result is written and read again: plans would else multiply.
     """
     steps = [toc_blocks, detect_headings, coherent_numbering, *([lambda x: classify_fallback(x, ask)] if ask is not None else []), title_pairs, heading_shape, demote_orphans]
+    given = d.elements
     for k, step in enumerate(steps):
-        d = step(d)
+        before, d = d.elements, step(d)
         if k < len(steps) - 1:
             d = d.with_elements(materialise(d.elements, f"headings-{k}"))
+            if before is not given:
+                discard(before)
     return d
 
 

@@ -27,7 +27,7 @@ from foliospark.operators.page import page_quality, reclassify
 from foliospark.operators.reading_order import reading_order
 from foliospark.operators.table import tables
 from foliospark.operators.vlm_review import review
-from foliospark.runtime import materialise
+from foliospark.runtime import discard, materialise
 from foliospark.sinks.chapters import render_chapters, toc_index
 from foliospark.sinks.markdown import render
 from foliospark.verify.checks import verify
@@ -102,12 +102,18 @@ def parse(d: DocSet, config: Config | None = None, geometry: bool = True) -> Doc
     """All stages over all documents; geometry=False for documents without boxes."""
     c = config or Config()
     skip = c.disabled | (frozenset() if geometry else GEOMETRY)
+    before: list[DataFrame] = []
     for name, stage in STAGES:
         if name in skip:
             continue
-        d = stage(d, c)
+        pages, d = d.pages, stage(d, c)
+        if d.pages is not pages:
+            d = replace(d, pages=materialise(d.pages, f"pages-{name}"))
         if name not in ONCE:
             d = replace(d, elements=materialise(d.elements, f"elements-{name}"))
+            # Nothing reads the stage before any more.
+            discard(*before)
+            before = [d.elements]
     return d
 
 
@@ -124,9 +130,11 @@ class Result:
 
 
 def parse_result(d: DocSet, config: Config | None = None, geometry: bool = True) -> Result:
+    """All stages, what they render, and what is wrong with it. Documents without elements have no Markdown; an empty table gives empty ones."""
     done = parse(d, config, geometry)
     done = done.with_elements(materialise(done.elements, "parsed"))
-    md, ch = render(done), render_chapters(done.elements)
+    # What all checks read is rendered once.
+    md, ch = materialise(render(done), "markdown"), materialise(render_chapters(done.elements), "chapters")
     return Result(done, md, ch, toc_index(done.elements), verify(done, md, ch), run_stats(done))
 
 

@@ -1,4 +1,4 @@
-"""Whole stages whose rules are folds, and whole runs. SQL can't express them; tests hold them against rules of one page or document."""
+"""Whole stages whose rules are folds, and whole runs. Where SQL can't express them, tests hold them against rules of one page or document."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from foliospark.evaluate import metrics
 from foliospark.functions import text as X
 from foliospark.functions.html_table import html_table_column
+from foliospark.functions.tables import is_degenerate
 from foliospark.model import DocSet, complete
 from foliospark.operators import chapter, content_value, crossref, formula, line_unwrap
 from foliospark.operators import table as tables
-from foliospark.plans.pipeline import parse
-from foliospark.queries.base import box_docset, grid, numbered, table
+from foliospark.plans.pipeline import parse, parse_result
+from foliospark.queries.base import GRID, box_docset, grid, numbered, running, table
 from foliospark.sinks.chapters import render_chapters
 from foliospark.sinks.markdown import render
 from foliospark.sources.text import html_docset, text_docset
@@ -39,6 +40,15 @@ def parse_pages(spark, sf_dir):
     return r.select("doc_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("digest"))
 
 
+def parse_documents(spark, sf_dir):
+    """Every document, with a running head and page numbers, through all stages, rendered, in chapters, and checked."""
+    r = parse_result(running(spark, sf_dir))
+    ch = r.chapters.groupBy("doc_id").agg(F.count("*").alias("chapters"))
+    w = r.warnings.groupBy("doc_id").agg(F.count("*").alias("warnings"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return r.stats.join(r.markdown, "doc_id", "left").join(ch, "doc_id", "left").join(w, "doc_id", "left").select("doc_id", "pages", "elements", "headings", F.length("markdown").alias("chars"), F.md5("markdown").alias("digest"), n("chapters"), n("warnings"))
+
+
 def heading_detection(spark, sf_dir):
     """Headings of numbered lines by level."""
     e = chapter.chapters(numbered(spark, sf_dir)).elements
@@ -54,6 +64,12 @@ def toc_blocks(spark, sf_dir):
     return e.groupBy("doc_id").agg(F.sum(F.coalesce("toc_entry", F.lit(False)).cast("long")).alias("entries"), F.max(F.coalesce("toc_header", F.lit(False))).alias("header"))
 
 
+_TOC = rf"""WITH {GRID}, c AS (SELECT doc_id, seq, trim(CASE WHEN seq < 6 THEN content || ' .... ' || CAST(seq AS BIGINT) ELSE content END) AS t FROM el WHERE seq BETWEEN 1 AND 39),
+n AS (SELECT *, regexp_matches(t, '(?:\.{{2,}}|-{{2,}}|—+|…+|\s)\d{{1,4}}\s*$') AS tail FROM c WHERE t <> ''), b AS (SELECT *, length(t) > 80 OR NOT (tail OR coalesce(lag(tail) OVER (PARTITION BY doc_id ORDER BY seq), FALSE)) AS brk FROM n),
+e AS (SELECT doc_id, tail FROM b JOIN (SELECT doc_id, coalesce(min(seq) FILTER (brk), 1e9) AS stop FROM b GROUP BY doc_id) USING (doc_id) WHERE seq < stop), s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (tail) >= 2 AS toc FROM e GROUP BY doc_id)
+SELECT doc_id, CASE WHEN toc THEN n ELSE 0 END AS entries, coalesce(toc, FALSE) AS header FROM documents LEFT JOIN s USING (doc_id)"""
+
+
 def line_unwrapping(spark, sf_dir):
     """Elements left after lines are merged over them."""
     e = line_unwrap.unwrap_elements(grid(spark, sf_dir)).elements
@@ -82,6 +98,9 @@ def formula_notation(spark, sf_dir):
     return d.select("doc_id", F.md5(formula.formula_column(c)).alias("digest"))
 
 
+_NOTATION = r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: 'at $30^{\circ}\mathrm{C}$, $\mathrm{H_{2}SiCl_{2}}$ and $200\,\mathrm{\mu L}$ $\ge$ 5 ' || x), chr(10))) AS digest FROM documents"""
+
+
 def split_tables(spark, sf_dir):
     """T4: orders' line items as tables over pages, joined again."""
     li = table(spark, sf_dir, "lineitem").filter("l_orderkey is not null")
@@ -95,6 +114,10 @@ def split_tables(spark, sf_dir):
     return m.groupBy("doc_id").agg(F.count("*").alias("tables"), F.sum(F.coalesce("rows", F.lit(0))).alias("rows"), F.max(F.size("merged_from")).alias("pages"))
 
 
+_SPLIT = """WITH o AS (SELECT l_orderkey AS doc_id, count(*) AS n, count(DISTINCT (l_linenumber - 1) // 3) AS pages FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey)
+SELECT doc_id, 1::BIGINT AS tables, CASE WHEN pages > 1 THEN n + 1 ELSE 0 END AS rows, CASE WHEN pages > 1 THEN CAST(pages AS INTEGER) END AS pages FROM o"""
+
+
 def html_tables(spark, sf_dir):
     """Nations as HTML tables with spans, by region."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -103,6 +126,20 @@ def html_tables(spark, sf_dir):
     return t.select("r_name", html_table_column(F.concat(F.lit("<table><tr><th colspan=2>"), "r_name", F.lit("</th></tr><tr><th>nation</th><th>key</th></tr>"), "rows", F.lit("</table>"))).alias("markdown"))
 
 
+_HTML = """SELECT r_name, '| ' || r_name || ' > nation | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_name || '<') AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+
+
+def degenerate_tables(spark, sf_dir):
+    """parts' tables of four makes, of which a blank one and an empty form say nothing."""
+    k, name = F.col("p_partkey") % 4, F.regexp_replace(F.regexp_replace("p_name", "[0-9]", ""), r"\|", "")
+    form = F.concat(F.lit("| Name | Value |\n|---|---|\n| Name | Value |\n| "), F.when(k == 1, "").otherwise(name), F.lit(" | |"))
+    c = F.when(k == 0, "| | |\n|---|---|\n| | |").when(k == 3, F.concat(F.lit("| Name | Size |\n|---|---|\n| "), name, F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))).otherwise(form)
+    return table(spark, sf_dir, "part").select("p_partkey", is_degenerate(c).alias("degenerate"))
+
+
+_DEGENERATE = "SELECT p_partkey, p_partkey % 4 < 2 OR (p_partkey % 4 = 2 AND trim(regexp_replace(p_name, '[0-9|]', '', 'g')) = '') AS degenerate FROM part"
+
+
 def evaluation(spark, sf_dir):
     """Every document as rendered against itself without every fourth line."""
     md = render(grid(spark, sf_dir))
@@ -117,7 +154,8 @@ def chapter_sizes(spark, sf_dir):
     return c.select("doc_id", "chapter", F.length("markdown").alias("chars"))
 
 
+_SQL = {"toc_blocks": _TOC, "formula_notation": _NOTATION, "split_tables": _SPLIT, "html_tables": _HTML, "degenerate_tables": _DEGENERATE}
 STAGE_QUERIES = {
-    f.__name__: (f, None)
-    for f in (flagship, html_structure, parse_pages, heading_detection, toc_blocks, line_unwrapping, value_scores, caption_assignment, formula_notation, split_tables, html_tables, evaluation, chapter_sizes)
+    f.__name__: (f, _SQL.get(f.__name__))
+    for f in (flagship, html_structure, parse_pages, parse_documents, heading_detection, toc_blocks, line_unwrapping, value_scores, caption_assignment, formula_notation, split_tables, html_tables, degenerate_tables, evaluation, chapter_sizes)
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from foliospark.functions.tables import table_shape
 from foliospark.functions.text import first_line, for_comparison, numbers, py_strip
 from foliospark.model import DocSet, flag
 from foliospark.operators.ocr import char_overlap
+from foliospark.runtime import materialise
 from foliospark.sinks.markdown import INTERNAL, image_reference
 
 TOLERANCE, HALLUCINATION, DUPLICATE = 0.2, 0.3, 0.6
@@ -139,13 +142,16 @@ def duplicate_descriptions(d: DocSet) -> DataFrame:
 
 
 def verify(d: DocSet, markdown: DataFrame, chapters: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """All warnings, each once: (doc_id, page_number, warning)."""
-    out = hallucinations(d).filter("reason is not null").select("doc_id", "page_number", "warning").unionByName(headings(d.elements)).unionByName(completeness(d, markdown)).unionByName(leaks(markdown)).unionByName(duplicate_descriptions(d))
+    """All warnings, each once: (doc_id, page_number, warning).
+
+    Each check is run when this is called and its warnings are written: as one plan they would take minutes to lay out.
+    """
+    found = [hallucinations(d).filter("reason is not null").select("doc_id", "page_number", "warning"), headings(d.elements), completeness(d, markdown), leaks(markdown), duplicate_descriptions(d)]
     if chapters is not None:
-        out = out.unionByName(empty_chapters(chapters))
+        found.append(empty_chapters(chapters))
     if files is not None:
-        out = out.unionByName(image_links(markdown, files))
-    return out.distinct()
+        found.append(image_links(markdown, files))
+    return reduce(DataFrame.unionByName, [materialise(w, "warnings") for w in found]).distinct()
 
 
 __all__ = ["completeness", "duplicate_descriptions", "empty_chapters", "hallucinations", "headings", "image_links", "leaks", "markdown_tables", "verify"]

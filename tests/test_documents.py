@@ -127,6 +127,8 @@ def test_render_chapters_and_checks(make):
     assert chapters.toc_index(d.elements).first()["index"] == "# 目录\n\n- [前言](chapters/ch_01.md)\n- [One](chapters/ch_02.md)\n    - Deep\n"
     w = {r.warning for r in checks.headings(d.elements).collect()}
     assert w == {"Page 1: heading level jump from H1 to H3 (Deep).", "Page 1: orphan H3 heading without H2 parent (Deep)."}
+    w |= {r.warning for r in checks.verify(d, md, chapters.render_chapters(d.elements), d.elements.selectExpr("doc_id", "'images/y.png' as path").limit(1)).collect()}
+    assert w == {"Page 1: heading level jump from H1 to H3 (Deep).", "Page 1: orphan H3 heading without H2 parent (Deep).", "Image reference 'images/x.png' in Markdown but file not found on disk.", "Image file 'y.png' on disk but not referenced in Markdown.", "Rendered text volume drifted beyond tolerance: source=22 chars, output=42 chars."}
 
 
 def test_clients():
@@ -143,3 +145,37 @@ def test_clients():
     m = HttpModel("http://model.example/v1/", "m", post=post, sleep=lambda s: None)
     assert m.complete("s", "u") == "{}" and m.complete("s", "u") == "{}" and [c.rpartition("/")[2] for c in calls] == ["responses", "completions", "completions"]
     assert Canned({Canned.key("s", "u"): "yes"}).complete("s", "u") == "yes"
+
+
+def test_whole_run_over_documents(spark):
+    """All stages, rendering, chapters and checks over a whole table."""
+    from foliospark.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in QUERIES["parse_documents"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert set(rows) == set(texts) and all(r.pages == -(-len(texts[i].split("\n")) // 40) for i, r in rows.items())
+    # Running heads of later pages and page numbers are gone, words of the text aren't.
+    assert all(r.elements <= len(texts[i].split("\n")) + 2 * r.pages for i, r in rows.items())
+    assert sum(r.chars or 0 for r in rows.values()) > 0.8 * sum(map(len, texts.values()))
+
+
+def test_fold_keeps_what_rules_dont_see(spark):
+    from foliospark.operators.fold import fold
+
+    e = spark.range(3000).selectExpr("id % 7 as doc_id", "1 as page_number", "cast(id as double) as seq", "cast(id as string) as content", "map('k', cast(id as string)) as extra", "array(id) as `a.b`")
+
+    def rule(rows):
+        return [{**r, "content": r["content"] + "!"} for r in rows[::-1] for _ in range(2) if int(r["content"]) % 3]
+
+    got = fold(e, ("doc_id",), rule, columns=("content",))
+    rows = got.collect()
+    assert got.columns == e.columns and len(rows) == 4000
+    assert all(r.content == r.extra["k"] + "!" and r["a.b"] == [int(r.seq)] and int(r.seq) % 7 == r.doc_id for r in rows)
+
+
+def test_split_tables_far_apart():
+    t = "| a | b |\n|---|---|\n| 1 | 2 |"
+    rows = [{"page_number": n, "seq": 0.0, "type": "table", "content": t, "bbox": {"x0": 0, "y0": y0, "x1": 9, "y1": y1}, "__height": 100.0} for n, y0, y1 in ((1, 50, 99), (10**9, 1, 20))]
+    got = table.merge_split_tables(rows)
+    assert len(got) == 1 and got[0]["merged_from"] == [1, 10**9] and got[0]["rows"] == 3
