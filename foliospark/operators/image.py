@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from foliospark.functions import geometry as G
 from foliospark.functions.text import CJK, for_comparison, numbers, py_strip
 from foliospark.model import DocSet, flag
-from foliospark.operators.ocr import char_overlap, suppress
+from foliospark.operators.ocr import char_overlap, recognise, suppress
 from foliospark.operators.table import covered_pages
 from foliospark.sources.files import parse_json
 
@@ -101,6 +101,44 @@ def classify_images(d: DocSet, skip_decorative: bool = True) -> DocSet:
     return d.with_elements(e.select(*d.elements.columns))
 
 
+def prefer_native(d: DocSet, threshold: float = 0.5) -> DocSet:
+    """Drawn figures that share more than half of the smaller box with an embedded image of their page are skipped: the image has its own pixels."""
+    on = ["doc_id", "page_number"]
+    live = d.elements.filter((F.col("type") == "image") & ~flag("skipped"))
+    own = live.filter(~flag("vector_figure") & F.col("xref").isNotNull()).select(*on, F.col("bbox").alias("__n"))
+    drawn = live.filter(flag("vector_figure")).select(*on, "elem_id", "bbox")
+    twice = drawn.join(own, on).filter(G.overlap_of_smaller(F.col("bbox"), F.col("__n")) > threshold).select("doc_id", "elem_id").distinct().withColumn("__twice", F.lit(True))
+    e = d.elements.join(twice, ["doc_id", "elem_id"], "left")
+    hit = F.col("__twice").isNotNull()
+    e = e.withColumn("skipped", F.when(hit, F.lit(True)).otherwise(F.col("skipped"))).withColumn("skip_reason", F.when(hit, "native_image_preferred").otherwise(F.col("skip_reason")))
+    return d.with_elements(e.select(*d.elements.columns))
+
+
+def picture_evidence(pictures: DataFrame, read: Callable[[list[bytes]], list[list[dict]]]) -> DataFrame:
+    """(doc_id, page_number, seq, evidence_text, evidence_table): what recognition reads in pictures (doc_id, page_number, seq, image), for documents without boxes.
+
+    A picture is a page of its own here. One without bytes, or that can't be read, has no row.
+    """
+    have = pictures.filter("image is not null").withColumn("render_width", F.lit(None).cast("double")).withColumn("render_height", F.lit(None).cast("double"))
+    place = F.struct("doc_id", "page_number", "seq")
+    named = have.withColumn("__k", F.xxhash64(place))
+    read_ = recognise(named.select(F.col("__k").alias("doc_id"), F.lit(1).alias("page_number"), "image", "render_width", "render_height"), read).select(F.col("doc_id").alias("__k"), "blocks")
+    solid = lambda table: F.transform(F.filter("blocks", lambda b: (F.length(py_strip(F.coalesce(b.text, F.lit("")))) > 0) & ((b.label == "table") == F.lit(table))), lambda b: py_strip(b.text))
+    said = lambda a, by: F.when(F.size(a) > 0, F.array_join(a, by))
+    found = named.select("doc_id", "page_number", "seq", "__k").join(read_, "__k").select("doc_id", "page_number", "seq", said(solid(False), "\n").alias("evidence_text"), said(solid(True), "\n\n").alias("evidence_table"))
+    return found.filter("evidence_text is not null or evidence_table is not null")
+
+
+def attach_evidence(d: DocSet, found: DataFrame) -> DocSet:
+    """Image elements with what picture_evidence() found; those that are skipped stay as they are."""
+    on = ["doc_id", "page_number", "seq"]
+    e = d.elements.join(found.select(*on, F.col("evidence_text").alias("__t"), F.col("evidence_table").alias("__tt")), on, "left")
+    ours = (F.col("type") == "image") & ~flag("skipped")
+    for name, new in (("evidence_text", "__t"), ("evidence_table", "__tt")):
+        e = e.withColumn(name, F.when(ours, F.coalesce(F.col(new), F.col(name))).otherwise(F.col(name)))
+    return d.with_elements(e.select(*d.elements.columns))
+
+
 def image_counts(elements: DataFrame) -> DataFrame:
     """(doc_id, image_class, n, needs_vlm)."""
     return elements.filter("type = 'image'").groupBy("doc_id", "image_class").agg(F.count("*").alias("n"), F.sum(flag("needs_vlm").cast("int")).alias("needs_vlm"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +42,10 @@ def ambiguous_layout(d: DocSet) -> DataFrame:
 
 
 def recognise(images: DataFrame, read: Callable[[list[bytes]], list[list[dict]]], batch: int = BATCH_PAGES) -> DataFrame:
-    """(doc_id, page_number, blocks, render_width, render_height): read() over rendered pages (doc_id, page_number, image, render_width, render_height).
+    """(doc_id, page_number, blocks, failure, render_width, render_height): read() over rendered pages (doc_id, page_number, image, render_width, render_height).
 
-    Pages go in batches of a partition; where a batch fails or comes back with another number of pages, page by page. A page that fails alone has no blocks.
+    Pages go in batches of a partition; where a batch fails or comes back with another number of pages, page by page. A page that fails alone has no blocks, and
+    ``failure`` says why.
     """
 
     def run(batches):
@@ -55,16 +57,18 @@ def recognise(images: DataFrame, read: Callable[[list[bytes]], list[list[dict]]]
                     found = read(pages)
                 except Exception:
                     found = []
+                why: list[str | None] = [None] * len(pages)
                 if len(found) != len(pages):
                     found = []
-                    for x in pages:
+                    for k, x in enumerate(pages):
                         try:
                             found.append(read([x])[0])
-                        except Exception:
+                        except Exception as e:
                             found.append([])
-                yield part.drop(columns="image").assign(blocks=[[{"label": b.get("label"), "text": b.get("text"), "bbox": normal_box(b.get("bbox")), "confidence": float(b.get("confidence", 1.0))} for b in p] for p in found])
+                            why[k] = f"{type(e).__name__}: {e}"
+                yield part.drop(columns="image").assign(failure=pd.Series(why, dtype=object, index=part.index), blocks=[[{"label": b.get("label"), "text": b.get("text"), "bbox": normal_box(b.get("bbox")), "confidence": float(b.get("confidence", 1.0))} for b in p] for p in found])
 
-    return images.select("doc_id", "page_number", "image", "render_width", "render_height").mapInPandas(run, f"doc_id long, page_number int, render_width double, render_height double, blocks {BLOCK}")
+    return images.select("doc_id", "page_number", "image", "render_width", "render_height").mapInPandas(run, f"doc_id long, page_number int, render_width double, render_height double, blocks {BLOCK}, failure string")
 
 
 def normal_box(box) -> list[float]:

@@ -20,7 +20,7 @@ from foliospark.operators.content_value import content_value
 from foliospark.operators.crossref import captions
 from foliospark.operators.formula import formulas
 from foliospark.operators.header_footer import strip_headers_footers
-from foliospark.operators.image import classify_images, describe, use_evidence
+from foliospark.operators.image import classify_images, describe, prefer_native, use_evidence
 from foliospark.operators.line_unwrap import unwrap_elements
 from foliospark.operators.ocr import block_elements, integrate, recognise
 from foliospark.operators.page import page_quality, reclassify
@@ -73,7 +73,7 @@ def _recognition(d: DocSet, c: Config) -> DocSet:
 
 
 def _images(d: DocSet, c: Config) -> DocSet:
-    d = use_evidence(classify_images(d, c.skip_decorative))
+    d = use_evidence(classify_images(prefer_native(d), c.skip_decorative))
     return describe(d, c.describe_image) if c.describe_image is not None else d
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.model import DOC, ELEMENT, PAGE, DocSet, complete
+from foliospark.runtime import materialise
+from foliospark.sources.docx import read_docx
 
 FORMATS = ("pdf", "docx", "doc")
 
@@ -39,8 +41,8 @@ def source_format(path):
     return F.when(s.isin(*FORMATS), s)
 
 
-#: A reader of one format: bytes in, (pages, elements) out as lists of dicts. Registered by whoever has the library.
-READERS: dict[str, Callable[[bytes, str], tuple[list[dict], list[dict]]]] = {}
+#: A reader of one format: bytes in, (pages, elements) out as lists of dicts. DOCX is read here; whoever has a library for others registers it.
+READERS: dict[str, Callable[[bytes, str], tuple[list[dict], list[dict]]]] = {"docx": read_docx}
 
 
 def register_reader(suffix: str, reader: Callable[[bytes, str], tuple[list[dict], list[dict]]]) -> None:
@@ -50,31 +52,23 @@ def register_reader(suffix: str, reader: Callable[[bytes, str], tuple[list[dict]
 def binary_docset(spark: SparkSession, path: str, readers: dict | None = None, recursive: bool = True) -> DocSet:
     """PDF, DOCX and DOC files through readers; a file whose format has none raises, as does one of another format.
 
-    Files are read once for pages and once for elements; nothing is collected.
+    Each file is read once, into a row with all its pages and elements, which is written; nothing is collected.
     """
     known = dict(READERS if readers is None else readers)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content").withColumn("format", source_format(F.col("path"))).withColumn("doc_id", F.xxhash64("path"))
-
-    def parsed(part: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = []
-                for r in pdf.itertuples():
-                    if r.format not in known:
-                        raise ValueError(f"no reader for {r.path}")
-                    for row in known[r.format](bytes(r.content), r.path)[part]:
-                        rows.append(json.dumps({"doc_id": r.doc_id, **row}))
-                yield pd.DataFrame({"row": rows}, dtype=object)
-
-        return run
-
-    out = []
-    for part, schema in ((0, PAGE), (1, ELEMENT)):
-        rows = files.mapInPandas(parsed(part), "row string").select(F.from_json("row", schema).alias("r")).select("r.*")
-        out.append(complete(rows, schema))
-    pages, elements = out
-    docs = files.select("doc_id", F.col("path").alias("source_path"), F.col("format").alias("source_format")).join(pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count")), "doc_id", "left")
-    return DocSet(complete(docs, DOC), pages, elements.withColumn("bbox", G.null_if_zero(F.col("bbox"))))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select(F.xxhash64("path").alias("doc_id"), "path", source_format(F.col("path")).alias("format"), "content")
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if r.format not in known:
+                    raise ValueError(f"no reader for {r.path}")
+                both = [[json.dumps({"doc_id": r.doc_id, **row}) for row in rows] for rows in known[r.format](bytes(r.content), r.path)]
+                yield pd.DataFrame({"doc_id": [r.doc_id], "path": [r.path], "format": [r.format], "pages": [both[0]], "elements": [both[1]]})
+
+    read = materialise(files.mapInPandas(parsed, "doc_id long, path string, format string, pages array<string>, elements array<string>"), "files")
+    part = lambda name, schema: complete(read.select(F.explode(name).alias("row")).select(F.from_json("row", schema).alias("r")).select("r.*"), schema)
+    docs = read.select("doc_id", F.col("path").alias("source_path"), F.col("format").alias("source_format"), F.size("pages").alias("page_count"))
+    return DocSet(complete(docs, DOC), part("pages", PAGE), part("elements", ELEMENT).withColumn("bbox", G.null_if_zero(F.col("bbox"))))
 
 
 def ground_truth(spark: SparkSession, folder: str, include: list[str] | None = None) -> DataFrame:
