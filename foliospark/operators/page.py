@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions.text import CJK, py_strip
 from foliospark.model import DocSet
+from foliospark.sources.files import parse_json
 
 _TIGHT = f"^[{CJK}　-〿＀-￯]"
 
@@ -108,6 +112,28 @@ def page_quality(d: DocSet, layout: bool = False, short_share: float = 0.25) ->
     return out
 
 
+FRAGMENTS = 'Text of a page follows. If its formulas have come apart, so that their symbols stand on lines of their own, answer {"has_formula_fragments": true}, else {"has_formula_fragments": false}.'
+
+
+def confirm_fragments(flagged: DataFrame, ask: Callable[[str, str], str]) -> DataFrame:
+    """page_quality() with those ``fragments`` only that ask(system prompt, sample) confirms; a call that fails or can't be understood confirms nothing."""
+
+    def run(batches):
+        for pdf in batches:
+            said = []
+            for sample in pdf["sample"]:
+                try:
+                    answer = parse_json(ask(FRAGMENTS, sample))
+                except Exception:
+                    # The page keeps its text.
+                    answer = None
+                said.append(isinstance(answer, dict) and answer.get("has_formula_fragments") is True)
+            yield pdf[pd.Series(said, index=pdf.index, dtype=bool)]
+
+    some = flagged.filter("reason = 'fragments'")
+    return flagged.filter("reason <> 'fragments'").unionByName(some.mapInPandas(run, some.schema))
+
+
 def reclassify(d: DocSet, flagged: DataFrame) -> DocSet:
     """Pages of flagged (doc_id, page_number) as scanned."""
     f = flagged.select("doc_id", "page_number", F.lit(True).alias("__f")).distinct()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,35 @@ def tables(d: DocSet) -> DocSet:
     return merge_cross_page(drop_degenerate(d))
 
 
+REFINE = "These images are pages that one table runs over. Recognition read it as below. Put its errors and misplaced cells right, and answer with the whole table in Markdown and nothing else.\n\n{}"
+
+
+def refine_merged(d: DocSet, images: DataFrame, ask: Callable[[list[bytes], str], str]) -> DocSet:
+    """Tables that were merged over pages as ask(their pages' images, prompt) gives them; an answer that is no table, or a call that fails, changes nothing.
+
+    images are rendered pages (doc_id, page_number, image); a table with fewer than two of them isn't asked about. Only such tables' pages are moved.
+    """
+    t = d.elements.filter("type = 'table' and size(merged_from) > 1").select("doc_id", "elem_id", "content", F.posexplode("merged_from").alias("k", "page_number"))
+    pages = t.join(images.select("doc_id", "page_number", "image"), ["doc_id", "page_number"]).groupBy("doc_id", "elem_id", "content").agg(F.array_sort(F.collect_list(F.struct("k", "image"))).alias("shown")).filter(F.size("shown") > 1)
+
+    def run(batches):
+        for pdf in batches:
+            said = []
+            for r in pdf.itertuples():
+                try:
+                    answer = ask([bytes(x) for x in r.images], REFINE.format(r.content)).strip()
+                except Exception:
+                    # The table stays as it was read.
+                    answer = ""
+                said.append(answer if "|" in answer and "---" in answer else None)
+            yield pdf[["doc_id", "elem_id"]].assign(__new=pd.Series(said, dtype=object, index=pdf.index))
+
+    found = pages.select("doc_id", "elem_id", "content", F.transform("shown", lambda x: x.image).alias("images")).mapInPandas(run, "doc_id long, elem_id string, __new string").filter("__new is not null")
+    e = d.elements.join(found, ["doc_id", "elem_id"], "left")
+    e = e.withColumn("content", F.coalesce("__new", "content")).withColumn("source", F.when(F.col("__new").isNotNull(), "vlm").otherwise(F.col("source")))
+    return d.with_elements(e.select(*d.elements.columns))
+
+
 def covered_pages(elements: DataFrame) -> DataFrame:
     """(doc_id, page_number) of the pages that tables merged over several pages take up."""
     return elements.filter("size(merged_from) > 1").select("doc_id", F.explode("merged_from").alias("page_number")).distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.model import DocSet
@@ -19,17 +19,19 @@ from foliospark.operators.code_block import code_blocks
 from foliospark.operators.content_value import content_value
 from foliospark.operators.crossref import captions
 from foliospark.operators.formula import formulas
+from foliospark.operators.formula_fix import correct_formulas
 from foliospark.operators.header_footer import strip_headers_footers
 from foliospark.operators.image import classify_images, describe, prefer_native, use_evidence
 from foliospark.operators.line_unwrap import unwrap_elements
 from foliospark.operators.ocr import block_elements, integrate, recognise
-from foliospark.operators.page import page_quality, reclassify
+from foliospark.operators.page import classify_pages, confirm_fragments, drop_small_images, drop_text_in_tables, page_quality, reclassify
 from foliospark.operators.reading_order import reading_order
-from foliospark.operators.table import tables
+from foliospark.operators.table import refine_merged, tables
 from foliospark.operators.vlm_review import review
 from foliospark.runtime import discard, materialise
 from foliospark.sinks.chapters import render_chapters, toc_index
 from foliospark.sinks.markdown import render
+from foliospark.sources.files import binary_docset
 from foliospark.verify.checks import verify
 
 
@@ -54,6 +56,9 @@ class Config:
     judge_value: Callable | None = None
     describe_image: Callable | None = None
     review_page: Callable | None = None
+    confirm_fragments: Callable | None = None
+    correct_formula: Callable | None = None
+    refine_table: Callable | None = None
 
 
 Stage = Callable[[DocSet, Config], DocSet]
@@ -65,7 +70,8 @@ def _recognition(d: DocSet, c: Config) -> DocSet:
     from foliospark.operators.ocr import pages_to_read
 
     if c.page_quality:
-        d = reclassify(d, page_quality(d).filter("reason <> 'fragments'"))
+        found = page_quality(d)
+        d = reclassify(d, confirm_fragments(found, c.confirm_fragments) if c.confirm_fragments is not None else found.filter("reason <> 'fragments'"))
     images = c.page_images.join(pages_to_read(d).select("doc_id", "page_number"), ["doc_id", "page_number"], "left_semi")
     # Recognition costs; its results are kept, not worked out again for each that reads them.
     found = materialise(recognise(images, c.read), "recognised")
@@ -83,9 +89,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("header_footer", lambda d, c: strip_headers_footers(d, c.header_zone, c.repetition, c.retain)),
     ("code_block", lambda d, c: code_blocks(d)),
     ("chapter", lambda d, c: chapters(d, c.classify_headings)),
-    ("table", lambda d, c: tables(d)),
+    ("table", lambda d, c: refine_merged(tables(d), c.page_images, c.refine_table) if c.refine_table is not None and c.page_images is not None else tables(d)),
     ("image", _images),
-    ("formula", lambda d, c: formulas(d)),
+    ("formula", lambda d, c: formulas(correct_formulas(d, c.page_images, c.correct_formula) if c.correct_formula is not None and c.page_images is not None else d)),
     ("line_unwrap", lambda d, c: unwrap_elements(d, c.settle_breaks)),
     ("text_clean", lambda d, c: clean_elements(d)),
     ("content_value", lambda d, c: content_value(d, c.value_threshold, c.value_gray, c.judge_value)),
@@ -98,6 +104,16 @@ GEOMETRY = frozenset({"reading_order", "header_footer", "code_block", "content_v
 ONCE = frozenset({"formula", "text_clean"})
 
 
+def prepared(d: DocSet) -> DocSet:
+    """Documents as a reader gave them, ready for the stages: text that tables have is in them only, specks are left out, and pages are classified."""
+    return classify_pages(drop_small_images(drop_text_in_tables(d)))
+
+
+def read_documents(spark: SparkSession, path: str, readers: dict | None = None) -> DocSet:
+    """PDF and Word files as documents."""
+    return prepared(binary_docset(spark, path, readers))
+
+
 def parse(d: DocSet, config: Config | None = None, geometry: bool = True) -> DocSet:
     """All stages over all documents; geometry=False for documents without boxes."""
     c = config or Config()

@@ -29,6 +29,23 @@ _CLEAN = f"""SELECT doc_id, length(c) AS n, md5(c) AS digest FROM (SELECT doc_id
  {_sql("".join(X._C1))}, {_sql("".join(X._C1.values()))}), {_sql("".join(X._WIDE))}, {_sql("".join(X._WIDE.values()))}), '^{{^{{\\prime}}}}', ''''), '^{{\\prime}}', ''''), '[^\\S\\n]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM documents)"""
 
 
+def cjk_gaps(spark, sf_dir):
+    """Documents with ideographs for their vowels and Chinese marks for theirs, without the blanks between these."""
+    c = X.close_cjk_gaps(F.translate("text", "aeiou.,", "中文字表格。，"))
+    return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", F.length("c").alias("n"), F.md5("c").alias("digest"))
+
+
+def _gaps(c: str, passes: int = 3) -> str:
+    """Each kind of gap closed again and again, since a pattern takes the characters at both sides."""
+    for _ in range(passes):
+        for left, right in ((X.CJK_WIDE, X.CJK_WIDE), (X.CJK_WIDE, X.CJK_MARKS), (X.CJK_MARKS, X.CJK_WIDE)):
+            c = f"regexp_replace({c}, '([{left}])[^\\S\\n]+([{right}])', '\\1\\2', 'g')"
+    return c
+
+
+_CJK = f"SELECT doc_id, CAST(length(c) AS INTEGER) AS n, md5(c) AS digest FROM (SELECT doc_id, {_gaps("translate(text, 'aeiou.,', '中文字表格。，')")} AS c FROM documents)"
+
+
 def line_split_counts(spark, sf_dir):
     """Lines and pages of every document."""
     return line_elements(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("page_number").cast("long").alias("pages"), F.max(F.length("content")).cast("long").alias("longest"))
@@ -179,6 +196,7 @@ SELECT doc_id, CAST(sum(CAST(length(t) BETWEEN 1 AND 120 AND NOT regexp_matches(
 
 TEXTS = {
     "text_clean": (text_clean, _CLEAN),
+    "cjk_gaps": (cjk_gaps, _CJK),
     "line_split_counts": (line_split_counts, _LINES),
     "comparison_form": (comparison_form, _COMPARISON),
     "heading_predicates": (heading_predicates, _PREDICATES),

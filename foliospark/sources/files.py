@@ -15,6 +15,7 @@ from foliospark.functions import geometry as G
 from foliospark.model import DOC, ELEMENT, PAGE, DocSet, complete
 from foliospark.runtime import materialise
 from foliospark.sources.docx import read_docx
+from foliospark.sources.pdf import read_pdf
 
 FORMATS = ("pdf", "docx", "doc")
 
@@ -41,15 +42,15 @@ def source_format(path):
     return F.when(s.isin(*FORMATS), s)
 
 
-#: A reader of one format: bytes in, (pages, elements) out as lists of dicts. DOCX is read here; whoever has a library for others registers it.
-READERS: dict[str, Callable[[bytes, str], tuple[list[dict], list[dict]]]] = {"docx": read_docx}
+#: A reader of one format: bytes in, (pages, elements) out as lists of dicts. Whoever has a library for one, or for others, registers it.
+READERS: dict[str, Callable[[bytes, str], tuple[list[dict], list[dict]]]] = {"docx": read_docx, "pdf": read_pdf}
 
 
 def register_reader(suffix: str, reader: Callable[[bytes, str], tuple[list[dict], list[dict]]]) -> None:
     READERS[suffix] = reader
 
 
-def binary_docset(spark: SparkSession, path: str, readers: dict | None = None, recursive: bool = True) -> DocSet:
+def binary_docset(spark: SparkSession, path: str | list[str], readers: dict | None = None, recursive: bool = True) -> DocSet:
     """PDF, DOCX and DOC files through readers; a file whose format has none raises, as does one of another format.
 
     Each file is read once, into a row with all its pages and elements, which is written; nothing is collected.

@@ -32,4 +32,4 @@ def text_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text
 
 def line_counts(stream: DataFrame, time_col: str = "ts", key: str = "event_type", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, key, n) of events by tumbling windows, with a watermark: for the warnings and page counts of a running ingest."""
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).groupBy(F.window(time_col, window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
