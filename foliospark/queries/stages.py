@@ -92,13 +92,13 @@ def caption_assignment(spark, sf_dir):
 
 
 def formula_notation(spark, sf_dir):
-    """Every document with notation put in before each line."""
+    """Every document with notation put in before each line, and its dollar signs as euros: they would open math."""
     d = table(spark, sf_dir, "documents")
-    c = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("at 30℃, H₂SiCl₂ and 200μL ≥ 5 "), x)), "\n")
+    c = F.array_join(F.transform(F.split(F.translate("text", "$", "€"), "\n"), lambda x: F.concat(F.lit("at 30℃, H₂SiCl₂ and 200μL ≥ 5 "), x)), "\n")
     return d.select("doc_id", F.md5(formula.formula_column(c)).alias("digest"))
 
 
-_NOTATION = r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: 'at $30^{\circ}\mathrm{C}$, $\mathrm{H_{2}SiCl_{2}}$ and $200\,\mathrm{\mu L}$ $\ge$ 5 ' || x), chr(10))) AS digest FROM documents"""
+_NOTATION = r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(replace(text, '$', '€'), chr(10)), lambda x: 'at $30^{\circ}\mathrm{C}$, $\mathrm{H_{2}SiCl_{2}}$ and $200\,\mathrm{\mu L}$ $\ge$ 5 ' || x), chr(10))) AS digest FROM documents"""
 
 
 def split_tables(spark, sf_dir):
