@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.functions import geometry as G
+from foliospark.functions.arrow import ROWS
 from foliospark.functions.html_table import html_table_to_markdown
 from foliospark.model import DOC, ELEMENT, PAGE, DocSet, complete
 
@@ -128,16 +131,24 @@ def html_blocks(html: str | None) -> list[tuple[str, str, int | None, str]]:
     return p.out
 
 
+_FROM_HTML = T.StructType([f for f in ELEMENT.fields if f.name in ("doc_id", "page_number", "seq", "type", "content", "heading_level", "saved_path", "description")])
+
+
+def html_rows(batches):
+    """Batches of elements of batches (doc_id, html); each has those of a slice of pages, and no more are Python objects."""
+    arrow = to_arrow_schema(_FROM_HTML)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS).to_pylist()
+            rows = [{"doc_id": r["doc_id"], "page_number": 1, "seq": float(k), "type": kind, **({"content": "", "description": content, "saved_path": tag} if kind == "image" else {"content": content, "heading_level": level})} for r in part for k, (kind, content, level, tag) in enumerate(html_blocks(r["html"]))]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
 def html_docset(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DocSet:
     """Web pages as documents of one page each: headings with their level, navigation as headers, footers, tables as Markdown, images."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, 1, float(k), kind, "" if kind == "image" else content, level, content if kind == "image" else None, tag if kind == "image" else None) for i, h in zip(pdf["doc_id"], pdf["html"], strict=True) for k, (kind, content, level, tag) in enumerate(html_blocks(h))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "seq", "type", "content", "heading_level", "description", "saved_path"])
-
     named = pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).alias("html"))
-    e = named.mapInPandas(run, "doc_id long, page_number int, seq double, type string, content string, heading_level int, description string, saved_path string").withColumn("source", F.lit("native"))
+    e = named.mapInArrow(html_rows, _FROM_HTML).withColumn("source", F.lit("native"))
     d = pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(url_col).alias("source_path"), F.lit("html").alias("source_format"), F.lit(1).alias("page_count"))
     p = pages.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"), F.lit("native").alias("page_type"))
     return DocSet(complete(d, DOC), complete(p, PAGE), complete(e, ELEMENT))
