@@ -17,7 +17,8 @@ _COUNTER = r"\d{1,4}\s*/\s*\d{1,4}\s*页"
 
 def promote_section_headers(d: DocSet, zone: float = ZONE) -> DocSet:
     """``<name> N/M 页`` near the top of a page, in one line or two: the first of each name becomes a heading of level 1, the others go. Text that follows in the element stays."""
-    e = d.elements.join(d.pages.select("doc_id", "page_number", F.col("height").alias("page_height")), ["doc_id", "page_number"], "left")
+    # Documents are brought together once; joins and windows after this have doc_id among their keys.
+    e = d.elements.repartition("doc_id").join(d.pages.select("doc_id", "page_number", F.col("height").alias("page_height")), ["doc_id", "page_number"], "left")
     raw = F.split("content", "\n", -1)
     norm = F.transform(raw, lambda x: py_strip(F.regexp_replace(x, r"(?U)\s+", " ")))
     one = py_strip(F.regexp_extract(F.get(norm, F.lit(0)), rf"(?U)^\s*(.+?)\s+{_COUNTER}\s*\z", 1))

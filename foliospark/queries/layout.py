@@ -8,6 +8,7 @@ from foliospark.functions import geometry as G
 from foliospark.model import PAGE, complete
 from foliospark.operators import chapter, code_block, content_value, header_footer, image, line_unwrap, metadata, ocr, page, reading_order, vlm_review
 from foliospark.queries.base import BOXES, GRID, NUMBERED, RUNNING, box_docset, grid, headed, numbered, running, table
+from foliospark.runtime import materialise
 
 
 def font_mode(spark, sf_dir):
@@ -50,7 +51,8 @@ _REPEATED = f"WITH {_EDGES} SELECT doc_id, side, text, count(DISTINCT page_numbe
 def header_footer_removal(spark, sf_dir):
     """H4-H5: how many elements of each document go, and how many of the first page's are kept for its identity."""
     left = header_footer.strip_headers_footers(running(spark, sf_dir)).elements
-    return left.groupBy("doc_id").agg(F.count("*").alias("left"), F.sum(F.coalesce("retained_identity", F.lit(False)).cast("long")).alias("retained"), F.sum(F.length("content")).cast("long").alias("chars"))
+    # Written, so that it is planned with documents kept together.
+    return materialise(left.groupBy("doc_id").agg(F.count("*").alias("left"), F.sum(F.coalesce("retained_identity", F.lit(False)).cast("long")).alias("retained"), F.sum(F.length("content")).cast("long").alias("chars")), "header-footer")
 
 
 _REMOVAL = f"""WITH {_EDGES}, rp AS (SELECT doc_id, side, text FROM ed JOIN pg USING (doc_id) WHERE side IS NOT NULL AND n >= 2 GROUP BY doc_id, side, text, n HAVING count(DISTINCT page_number) >= greatest(2, floor(n * 0.5) + 1)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,21 @@ def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
         store.delete(where, True)
 
 
+#: Rows that lie together by doc_id are joined by doc_id and more where they are. By default each set of keys moves both sides again.
+_TOGETHER = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def whole_documents(spark: SparkSession):
+    """Plans made within keep tables where they lie, if they are parted by doc_id, for joins whose keys have doc_id among them."""
+    before = spark.conf.get(_TOGETHER)
+    spark.conf.set(_TOGETHER, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TOGETHER, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost executor costs nothing.
 
@@ -41,7 +57,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with whole_documents(spark):
+        df.write.parquet(path)
     _delete(spark, path, at_exit=True)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
