@@ -92,7 +92,8 @@ def detect_headings(d: DocSet) -> DocSet:
     pages = d.pages.select("doc_id", "page_number", F.col("width").alias("__pw"))
     ranks = cand.select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), "heading_rank")
     has = cand.select("doc_id").distinct().withColumn("__has", F.lit(True))
-    e = d.elements.withColumn("__font", F.struct("font.name", "font.size", "font.bold"))
+    # Documents are brought together once; all joins below have doc_id among their keys.
+    e = d.elements.repartition("doc_id").withColumn("__font", F.struct("font.name", "font.size", "font.bold"))
     e = e.join(ranks, (F.col("doc_id") == F.col("__rd")) & F.col("__font").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf")
     e = e.join(body, "doc_id", "left").join(has, "doc_id", "left").join(default_ocr_level(d.elements, cand), "doc_id", "left").join(pages, ["doc_id", "page_number"], "left")
     e = computed(e, __head=H.heading_text(F.col("content")))
@@ -149,8 +150,9 @@ def coherent_numbering(d: DocSet) -> DocSet:
     e = e.withColumn("__root", F.when(signal == "section_arabic_spaced", F.regexp_extract(h, r"(?U)^(\d{1,3})\s", 1).cast("int"))).withColumn("__of", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^(\d{1,9})\.\d", 1).cast("int"))).withColumn("__sub", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^\d+\.(\d{1,9})", 1).cast("int")))
     roots = e.filter("__root is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("__root")).alias("s")).filter(F.col("n").between(3, COHERENT_MOST) & _coherent(F.col("s"), 3)).select("doc_id", F.lit(True).alias("__roots"))
     subs = e.filter("__sub is not null").groupBy("doc_id", "__of").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("__sub")).alias("s")).filter((F.col("n") >= 2) & _coherent(F.col("s"), 2)).select("doc_id", "__of", F.lit(True).alias("__subs"))
+    e = e.withColumn("__short", H.is_short(h)).drop("__head", "__signal").repartition("doc_id")
     e = e.join(roots, "doc_id", "left").join(subs, ["doc_id", "__of"], "left")
-    new = F.when(F.coalesce("heading_level", F.lit(0)) > 0, None).when(~H.is_short(F.col("__head")), None).when(F.col("__roots") & F.col("__root").isNotNull(), 2).when(F.col("__subs") & F.col("__sub").isNotNull(), 3)
+    new = F.when(F.coalesce("heading_level", F.lit(0)) > 0, None).when(~F.col("__short"), None).when(F.col("__roots") & F.col("__root").isNotNull(), 2).when(F.col("__subs") & F.col("__sub").isNotNull(), 3)
     e = e.withColumn("__new", new).withColumn("heading_level", F.coalesce("__new", "heading_level")).withColumn("heading_reason", F.when(F.col("__new").isNotNull(), "coherent").otherwise(F.col("heading_reason")))
     return d.with_elements(e.select(*d.elements.columns))
 

@@ -3,13 +3,14 @@
 import pytest
 
 from foliospark.model import DOC, ELEMENT, PAGE, DocSet, complete
+from foliospark.operators.chapter import coherent_numbering
 from foliospark.operators.header_footer import strip_headers_footers
 from foliospark.runtime import whole_documents
 
 _KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-@pytest.mark.parametrize("stage", [strip_headers_footers])
+@pytest.mark.parametrize("stage", [coherent_numbering, strip_headers_footers])
 def test_rows_move_less_often(spark, stage):
     e = complete(spark.range(10).selectExpr("id doc_id", "1 page_number", "0d seq", "'text' type", "'a' content"), ELEMENT)
     d = DocSet(complete(e.select("doc_id"), DOC), complete(e.selectExpr("doc_id", "page_number", "612d width", "792d height"), PAGE), e)
