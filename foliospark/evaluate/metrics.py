@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.arrow import shared_chars
 from foliospark.functions.let import computed, let
 from foliospark.functions.tables import SEPARATOR
 from foliospark.functions.text import for_comparison, lines, py_strip, without_space
@@ -56,10 +57,8 @@ def bag_overlap(items_a: DataFrame, items_b: DataFrame, by: str, item: str) -> D
 
 def text_metrics(pairs: DataFrame, by: str = "document_name") -> DataFrame:
     """(by, edit_distance, char_precision, char_recall, char_f1) of pairs (by, output, expected)."""
-    from foliospark.operators.ocr import char_overlap
-
     p = computed(pairs.select(by, "output", "expected"), o=for_comparison(F.coalesce("output", F.lit(""))), e=for_comparison(F.coalesce("expected", F.lit("")))).select(by, "o", "e")
-    p = computed(p, common=F.round(char_overlap(F.col("o"), F.col("e")) * F.length("o")).cast("long"))
+    p = p.withColumn("common", shared_chars(F.col("o"), F.col("e")))
     pr, rc, f1 = multiset_scores(F.col("common"), F.length("o"), F.length("e"))
     none = (F.length("o") == 0) & (F.length("e") == 0)
     return p.select(by, _distance(F.col("o"), F.col("e")).alias("edit_distance"), F.when(none, 1.0).otherwise(pr).alias("char_precision"), F.when(none, 1.0).otherwise(rc).alias("char_recall"), F.when(none, 1.0).otherwise(f1).alias("char_f1"))

@@ -69,13 +69,19 @@ def tool_scores(documents: DataFrame, tools: dict[str, Callable[[DataFrame], Dat
     A tool takes documents and returns (by, output).
     """
     out = None
+    names = documents.select(by)
     for name, tool in tools.items():
-        rows = documents.select(by).join(tool(documents), by, "left")
-        rows = rows.join(expected, by, "left") if expected is not None else rows.withColumn("expected", F.lit(None).cast("string"))
-        status = F.when(F.col("output").isNull(), "error").when(F.col("expected").isNull(), "artifact_only").otherwise("ok")
-        rows = rows.withColumn("status", status)
-        scored = score(rows.filter("status = 'ok'").select(by, "output", "expected"), by)
-        part = rows.select(F.lit(name).alias("tool"), by, "status").join(scored, by, "left")
+        made = tool(documents)
+        # Texts move once, to be scored; the status needs to know only which there are.
+        rows = names.join(made.select(by, F.col("output").isNotNull().alias("__made")), by, "left")
+        if expected is None:
+            status, pairs = F.when(F.col("__made"), "artifact_only").otherwise("error"), names.join(made.filter("output is not null"), by).withColumn("expected", F.lit(None).cast("string")).filter("false")
+        else:
+            rows = rows.join(expected.select(by, F.col("expected").isNotNull().alias("__wanted")), by, "left")
+            status = F.when(F.col("__made") & F.col("__wanted"), "ok").when(F.col("__made"), "artifact_only").otherwise("error")
+            pairs = names.join(made.filter("output is not null"), by).join(expected.filter("expected is not null"), by)
+        scored = score(pairs.select(by, "output", "expected"), by)
+        part = rows.select(F.lit(name).alias("tool"), by, status.alias("status")).join(scored, by, "left")
         out = part if out is None else out.unionByName(part)
     return out
 
