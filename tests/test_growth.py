@@ -6,10 +6,13 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from foliospark.evaluate.runs import tool_scores
+from foliospark.functions import text as X
 from foliospark.functions.arrow import ROWS
 from foliospark.functions.text import WHITE, for_comparison, py_strip
 from foliospark.operators.formula import CANDIDATES, correction_score, has_indicators
+from foliospark.operators.line_unwrap import usual_length
 from foliospark.operators.ocr import char_overlap
+from foliospark.sources.text import text_docset
 
 
 def seconds(df):
@@ -69,3 +72,34 @@ def test_notation_is_looked_for_where_it_can_be(spark):
     assert [r.a for r in got] == [r.b for r in got]
     df = spark.range(0, 6000, 1, 1).select(F.concat(F.lit("straße " + "word " * 800), F.col("id").cast("string")).alias("c"))
     assert seconds(df.filter(has_indicators(F.col("c")))) < 0.5 * seconds(df.filter(F.col("c").rlike(long_class)))
+
+
+def _joined(node):
+    """What the sides of a plan's joins have, by name."""
+    sides = [node.children().apply(k) for k in range(node.children().size())]
+    own = [s.output().mkString(",") for s in sides] if "Join" in node.nodeName() else []
+    return own + [x for s in sides for x in _joined(s)]
+
+
+def test_usual_length_joins_no_texts(spark):
+    long, item = "a line of thirty characters ok", "- an item that is of no account at all"
+    docs = spark.createDataFrame([(1, "\n".join([long, long + "!", long + "!!", item, "short"])), (2, "tiny")], "doc_id long, text string")
+    u = usual_length(text_docset(docs).elements)
+    assert {r.doc_id: r.usual for r in u.collect()} == {1: 31.0}
+    sides = _joined(u._jdf.queryExecution().sparkPlan())
+    assert sides and not any(n in s for s in sides for n in ("content#", "line#"))
+
+
+def test_cleaning_equals_patterns(spark):
+    texts = [None, "", " a  b\t\n c \r\n", "x\x85y\x96z", "ＡＢＣ１２，！", "中 文　字。 x", "f^{^{\\prime}} g^{\\prime}", "é  ñ", "　", "a  b", "\x01a\x7f"]
+    old = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+    def plain(c):
+        c = F.translate(X.drop_control_chars(c), "".join(X._C1), "".join(X._C1.values()))
+        c = X.close_cjk_gaps(F.translate(c, "".join(X._WIDE), "".join(X._WIDE.values())))
+        c = F.regexp_replace(F.regexp_replace(c, r"\^\{\^\{\\prime\}\}", "'"), r"\^\{\\prime\}", "'")
+        return old(F.regexp_replace(c, "(?U)" + X.BLANK, " "))
+
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for r in df.select(X.clean(F.col("c")).alias("a"), plain(F.col("c")).alias("b")).collect():
+        assert r.a == r.b
