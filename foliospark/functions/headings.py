@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions.let import let
-from foliospark.functions.text import CJK, SENTENCE_END, beyond_ascii, ends_with, first_line, py_strip
+from foliospark.functions.text import CJK, SENTENCE_END, WHITE, beyond_ascii, ends_with, first_line, py_strip, replace_where
 
 _CN = "一二三四五六七八九十百千万"
 _CN_ALL = _CN + "零〇"
@@ -24,6 +24,8 @@ NUMBERING = (
     ("section_arabic_spaced", rf"(?U)^\d{{1,3}}\s+[A-Za-z{_IDEO}]", 2),
     ("section_arabic_root", rf"(?U)^\d+\.\s*[A-Za-z{_IDEO}]", 2),
 )
+#: What all of them begin with; a single character is far cheaper to look at than a text for each pattern.
+_OPENS = rf"(?U)[\d第附(（{_CN}]"
 STRONG = ("chapter_cn", "section_cn", "section_cn_paren")
 STRONG_WITH_COLON = ("chapter_cn", "article_cn", "appendix_cn")
 DATE = r"(?U)^\d{4}\s*(?:年|[-/.]\s*\d{1,2}\s*[-/.月])"
@@ -39,7 +41,7 @@ LIST_MARKER = rf"(?U)^\s*(?:[*•·●○■□▪▸▹-]|(?:[A-Za-z]|\d+)[.、
 
 def _unmarked(text: Column) -> Column:
     """Without heading marks and emphasis, full-width digits and stop as ASCII."""
-    t = F.regexp_replace(py_strip(text), r"(?U)^\s{0,3}#{1,6}\s*", "")
+    t = replace_where(py_strip(text), "#", r"(?U)^\s{0,3}#{1,6}\s*", "")
     return let(F.replace(t, F.lit("*"), F.lit("")), lambda u: F.when(beyond_ascii(u), F.translate(u, "．０１２３４５６７８９", ".0123456789")).otherwise(u))
 
 
@@ -47,7 +49,7 @@ def _signal(t: Column) -> Column:
     out = None
     for name, regex, _ in NUMBERING:
         out = F.when(t.rlike(regex), name) if out is None else out.when(t.rlike(regex), name)
-    return out
+    return F.when(F.left(t, F.lit(1)).rlike(_OPENS), out)
 
 
 def numbering_signal(text: Column) -> Column:
@@ -76,7 +78,7 @@ def heading_text(content: Column) -> Column:
         return F.when(following.isNotNull() & ~is_body(following) & (F.length(both) <= 80), both).otherwise(first)
 
     rest = F.filter(F.transform(F.slice(F.split(content, "\n"), 2, 2), py_strip), lambda x: F.length(x) > 0)
-    return let(first_line(content), lambda first: F.when(first.rlike(r"(?U)^\d+\z"), let(F.get(rest, F.lit(0)), lambda f: joined(first, f))).otherwise(first))
+    return let(first_line(content), lambda first: F.when((F.length(first) < 80) & first.rlike(r"(?U)^\d+\z"), let(F.get(rest, F.lit(0)), lambda f: joined(first, f))).otherwise(first))
 
 
 def is_body(text: Column) -> Column:
@@ -143,7 +145,8 @@ def caption_kind(text: Column) -> Column:
         title = py_strip(F.regexp_extract(text, rf"(?iUs)^\s*{label}\s*{_SEPARATOR}\s*(.+)\z", 1))
         hit = numbered | F.length(title).between(2, 60)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return F.when(F.length(text) <= 160, out)
+    # What labels begin with.
+    return F.when((F.length(text) <= 160) & F.left(F.ltrim(text, F.lit(WHITE)), F.lit(1)).isin(*"FfTt图表"), out)
 
 
 _WARNINGS = (

@@ -17,6 +17,8 @@ SENTENCE_END = "[.;?!。！；？]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Whether there is any: single characters are looked up, ranges and alternatives are tried at each place.
 _BROKEN = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Control characters one by one: a set of them is looked up.
+_CONTROL = "[" + "".join(f"\\x{k:02x}" for k in (*range(32), 127)) + "]"
 #: What \\s takes for white space with (?U).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -91,7 +93,11 @@ def collapse_blanks(c: Column) -> Column:
 
 
 def clean(c: Column, encoding: bool = True, fullwidth: bool = True, cjk_spaces: bool = True, strip: bool = True) -> Column:
-    """All of the above, in order."""
+    """All of the above, in order. ASCII without control characters and double blanks, which most short texts are, has nothing for any but the last."""
+    return let(c, lambda t: F.when(~beyond_ascii(t) & (F.instr(t, "  ") == 0) & ~t.rlike(_CONTROL), py_strip(simplify_primes(t)) if strip else simplify_primes(t)).otherwise(_clean(t, encoding, fullwidth, cjk_spaces, strip)))
+
+
+def _clean(c: Column, encoding: bool, fullwidth: bool, cjk_spaces: bool, strip: bool) -> Column:
     c = drop_control_chars(c)
     c = recover_c1(c) if encoding else c
     c = narrow_fullwidth(c) if fullwidth else c

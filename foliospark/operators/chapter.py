@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import headings as H
-from foliospark.functions.let import computed
+from foliospark.functions.let import computed, let
 from foliospark.functions.text import WHITE, first_line, py_strip, truncate
 from foliospark.model import DocSet, flag
 from foliospark.operators.fold import fold
 from foliospark.operators.metadata import body_fonts, font_stats, heading_candidates
-from foliospark.runtime import discard, materialise
+from foliospark.runtime import discard, materialise, void_columns
 
 ISOLATION, SAME_SIZE = 1.4, 0.5
 COHERENT_MOST, ORPHANS, ORPHAN_DEPTH, FALLBACK_BATCH, FALLBACK_DENSITY = 8, 5, 3, 40, 8
@@ -52,13 +52,17 @@ def mark_toc(rows: list[dict]) -> list[dict]:
     return rows
 
 
-def toc_blocks(d: DocSet) -> DocSet:
-    """mark_toc() on the pages that have such a header; other pages don't become Python values. Rows are moved by page once, and both branches read that."""
+def _toc_header():
     named = F.lower(F.regexp_replace(F.regexp_replace("content", r"(?U)^\s{0,3}#{1,6}\s*|\*\*", ""), r"(?U)\s+", "")).isin(*_TOC_NAMES)
     # A longer text is no header; Python strips four more characters than patterns take for white space.
     short = F.length(F.trim("content", F.lit(WHITE + "\x1c\x1d\x1e\x1f"))) <= 28
+    return (F.col("type") == "text") & short & named
+
+
+def toc_blocks(d: DocSet) -> DocSet:
+    """mark_toc() on the pages that have such a header; other pages don't become Python values. Rows are moved by page once, and both branches read that."""
     on = ["doc_id", "page_number"]
-    found = F.max((F.col("type") == "text") & short & named).over(Window.partitionBy(*on))
+    found = F.max(_toc_header()).over(Window.partitionBy(*on))
     e = d.elements.withColumn("__toc", F.coalesce(found & F.col("doc_id").isNotNull() & F.col("page_number").isNotNull(), F.lit(False)))
     marked = fold(e.filter("__toc").drop("__toc"), tuple(on), mark_toc, columns=("type", "content", "heading_level", "toc_header", "toc_entry"), together=True, changes=("heading_level", "toc_header", "toc_entry")).select(*d.elements.columns)
     return d.with_elements(e.filter("not __toc").select(*d.elements.columns).unionByName(marked))
@@ -91,7 +95,8 @@ def detect_headings(d: DocSet) -> DocSet:
     """
     stats = font_stats(d.elements)
     cand = heading_candidates(stats)
-    body = body_fonts(stats)
+    # Where the body's font has no size, no font is a heading's, and it isn't asked for.
+    body = body_fonts(stats).filter("body.size > 0")
     pages = d.pages.select("doc_id", "page_number", F.col("width").alias("__pw"))
     ranks = cand.select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), "heading_rank")
     has = cand.select("doc_id").distinct().withColumn("__has", F.lit(True))
@@ -100,12 +105,14 @@ def detect_headings(d: DocSet) -> DocSet:
     e = e.join(ranks, (F.col("doc_id") == F.col("__rd")) & F.col("__font").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf")
     e = e.join(body, "doc_id", "left").join(has, "doc_id", "left").join(default_ocr_level(d.elements, cand), "doc_id", "left").join(pages, ["doc_id", "page_number"], "left")
     e = computed(e, __head=H.heading_text(F.col("content")))
-    e = computed(e, __signal=H.numbering_signal(F.col("__head")), __num=H.numbering_level(F.col("__head")))
     h, num, signal = F.col("__head"), F.col("__num"), F.col("__signal")
+    open_ = (F.col("type") == "text") & ~flag("code_block") & ~flag("retained_identity") & ~flag("toc_entry") & ~flag("toc_header")
+    # Nothing asks how body text is numbered, unless it came with a level.
+    asked = open_ & ((F.length(h) <= 100) | (F.col("heading_level") > 0))
+    e = computed(e, __signal=F.when(asked, H.numbering_signal(h)), __num=F.when(asked, H.numbering_level(h)))
     by_font = F.when(F.col("heading_rank").isNotNull(), F.least(F.col("heading_rank"), F.lit(3)))
     short, meta, body_like = H.is_short(h), H.is_metadata(h), H.is_body(h)
     weak = (F.col("body.size") > 0) & (F.col("font.size") <= F.col("body.size") + SAME_SIZE)
-    open_ = (F.col("type") == "text") & ~flag("code_block") & ~flag("retained_identity") & ~flag("toc_entry") & ~flag("toc_header")
     e = e.withColumn("__needs_gap", open_ & by_font.isNotNull() & num.isNull() & weak & F.col("bbox").isNotNull() & short & ~meta & ~body_like)
     apart = isolated(d, e.filter("__needs_gap").select("doc_id", "page_number", "elem_id", "seq", "bbox")).withColumn("__apart", F.lit(True))
     e = e.join(apart, ["doc_id", "elem_id"], "left")
@@ -143,17 +150,37 @@ def _coherent(numbers, least: int):
     return (n >= least) & (F.coalesce(F.array_max(gaps), F.lit(0)) <= 2) & (n / (F.element_at(numbers, -1) - F.element_at(numbers, 1) + 1) >= 0.5)
 
 
-def coherent_numbering(d: DocSet) -> DocSet:
-    """Headings of weak numbering by its coherence: three to eight lines ``1 Title`` of a document become level 2, two or more ``1.1 Title`` of a root level 3."""
+def _weakly_numbered(elements: DataFrame) -> DataFrame:
+    """elements with the numbers of ``1 Title`` (__root) and of ``1.2 Title`` (__of, __sub)."""
     h = F.col("__head")
-    usable = (F.col("type") == "text") & ~flag("toc_entry") & ~flag("toc_header") & (F.length(h) > 0) & ~H.is_body(h) & ~H.is_not_heading(h) & ~H.ends_with_colon(h)
-    signal = F.when(usable, H.numbering_signal(h))
-    e = computed(computed(d.elements, __head=H.heading_text(F.col("content"))), __signal=signal)
+    own = (F.col("type") == "text") & ~flag("toc_entry") & ~flag("toc_header") & (F.length(h) > 0)
+    usable = ~H.is_body(h) & ~H.is_not_heading(h) & ~H.ends_with_colon(h)
+    # Most texts have no number, and needn't be looked at any further.
+    signal = F.when(own, let(H.numbering_signal(h), lambda s: F.when(s.isNotNull() & usable, s)))
+    e = computed(computed(elements, __head=H.heading_text(F.col("content"))), __signal=signal)
     signal = F.col("__signal")
-    e = e.withColumn("__root", F.when(signal == "section_arabic_spaced", F.regexp_extract(h, r"(?U)^(\d{1,3})\s", 1).cast("int"))).withColumn("__of", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^(\d{1,9})\.\d", 1).cast("int"))).withColumn("__sub", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^\d+\.(\d{1,9})", 1).cast("int")))
-    roots = e.filter("__root is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("__root")).alias("s")).filter(F.col("n").between(3, COHERENT_MOST) & _coherent(F.col("s"), 3)).select("doc_id", F.lit(True).alias("__roots"))
-    subs = e.filter("__sub is not null").groupBy("doc_id", "__of").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("__sub")).alias("s")).filter((F.col("n") >= 2) & _coherent(F.col("s"), 2)).select("doc_id", "__of", F.lit(True).alias("__subs"))
-    e = e.withColumn("__short", H.is_short(h)).drop("__head", "__signal").repartition("doc_id")
+    # A number in other digits, or behind a mark, is none here.
+    return e.withColumn("__root", F.when(signal == "section_arabic_spaced", F.regexp_extract(h, r"(?U)^(\d{1,3})\s", 1).try_cast("int"))).withColumn("__of", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^(\d{1,9})\.\d", 1).try_cast("int"))).withColumn("__sub", F.when(signal == "section_arabic_nested", F.regexp_extract(h, r"^\d+\.(\d{1,9})", 1).try_cast("int")))
+
+
+def coherent_groups(elements: DataFrame) -> DataFrame:
+    """(doc_id, __of, root): coherent numbers of a document, those of its roots (root) or of the parts of one (__of). Elements are gone over once for both."""
+    number = F.coalesce("__root", "__sub")
+    e = _weakly_numbered(elements).filter(number.isNotNull()).groupBy("doc_id", F.col("__root").isNotNull().alias("__kind"), "__of")
+    # A filter by what was grouped by would be pushed below it, and part the two kinds again.
+    g = e.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(number)).alias("s"), F.max(F.col("__root").isNotNull()).alias("root"))
+    return g.filter((F.col("root") & F.col("n").between(3, COHERENT_MOST) & _coherent(F.col("s"), 3)) | (~F.col("root") & (F.col("n") >= 2) & _coherent(F.col("s"), 2))).select("doc_id", "__of", "root")
+
+
+def coherent_numbering(d: DocSet, groups: DataFrame | None = None) -> DocSet:
+    """Headings of weak numbering by its coherence: three to eight lines ``1 Title`` of a document become level 2, two or more ``1.1 Title`` of a root level 3.
+
+    groups, if given, are coherent_groups() of the elements.
+    """
+    groups = coherent_groups(d.elements) if groups is None else groups
+    roots = groups.filter("root").select("doc_id", F.lit(True).alias("__roots"))
+    subs = groups.filter("not root").select("doc_id", "__of", F.lit(True).alias("__subs"))
+    e = _weakly_numbered(d.elements).withColumn("__short", H.is_short(F.col("__head"))).drop("__head", "__signal").repartition("doc_id")
     e = e.join(roots, "doc_id", "left").join(subs, ["doc_id", "__of"], "left")
     new = F.when(F.coalesce("heading_level", F.lit(0)) > 0, None).when(~F.col("__short"), None).when(F.col("__roots") & F.col("__root").isNotNull(), 2).when(F.col("__subs") & F.col("__sub").isNotNull(), 3)
     e = e.withColumn("__new", new).withColumn("heading_level", F.coalesce("__new", "heading_level")).withColumn("heading_reason", F.when(F.col("__new").isNotNull(), "coherent").otherwise(F.col("heading_reason")))
@@ -323,16 +350,22 @@ def heading_shape(d: DocSet) -> DocSet:
     """Headings in several pieces joined, and headings with body text parted, on the pages that have any."""
     cand = heading_candidates(font_stats(d.elements)).select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), F.lit(True).alias("__candidate"))
     on = ["doc_id", "page_number"]
-    pages = d.elements.filter("heading_level > 0").select(*on).distinct()
-    e = d.elements.join(pages, on, "left_semi").withColumn("__f", F.struct("font.name", "font.size", "font.bold"))
+    e = d.elements.repartition("doc_id").withColumn("__f", F.struct("font.name", "font.size", "font.bold"))
     e = e.join(cand, (F.col("doc_id") == F.col("__rd")) & F.col("__f").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf", "__f")
     e = e.join(d.pages.groupBy("doc_id").agg(F.min("page_number").alias("__first")), "doc_id", "left")
-    shaped = fold(e, tuple(on), _page_rules, columns=("type", "content", "heading_level", "skip_render", "skip_reason", "bbox", "spans", "elem_id", "__candidate", "__first")).select(*d.elements.columns)
-    return d.with_elements(d.elements.join(pages, on, "left_anti").unionByName(shaped))
+    # Documents are brought together once; both branches read that.
+    headed = F.max(F.col("heading_level") > 0).over(Window.partitionBy(*on))
+    e = e.withColumn("__headed", F.coalesce(headed & F.col("doc_id").isNotNull() & F.col("page_number").isNotNull(), F.lit(False)))
+    # No rule makes spans where there are none.
+    void = void_columns(d.elements)
+    shaped = fold(e.filter("__headed").drop("__headed"), tuple(on), _page_rules, columns=("type", "content", "heading_level", "skip_render", "skip_reason", "bbox", "spans", "elem_id", "__candidate", "__first"), together=True, changes=("seq", "content", "heading_level", "skip_render", "skip_reason", "elem_id", *(c for c in ("spans",) if c not in void))).select(*d.elements.columns)
+    return d.with_elements(e.filter("not __headed").select(*d.elements.columns).unionByName(shaped))
 
 
 def title_pairs(d: DocSet) -> DocSet:
     """A recognised document title becomes level 2 where the document's next heading is a subtitle that dashes lead."""
+    if "layout_type" in void_columns(d.elements):
+        return d
     hs = d.elements.filter("heading_level > 0").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "seq"))).filter("__k <= 2")
     ocr = lambda kind, level: (F.col("source") == "ocr") & (F.col("layout_type") == kind) & (F.col("heading_level") == level)
     a = hs.filter(ocr("doc_title", 1) & (F.col("__k") == 1)).select("doc_id", "elem_id")
@@ -352,24 +385,51 @@ def orphan_clusters(elements: DataFrame) -> DataFrame:
     return deep.join(parents, ["doc_id", "prefix"], "left_anti").groupBy("doc_id", F.col("heading_level").alias("level"), "prefix").agg(F.count("*").alias("n")).filter(F.col("n") >= ORPHANS)
 
 
-def demote_orphans(d: DocSet) -> DocSet:
-    """Headings of orphan clusters are lists of terms: they become text."""
+def demote_orphans(d: DocSet, clusters: DataFrame | None = None) -> DocSet:
+    """Headings of orphan clusters are lists of terms: they become text. clusters, if given, are orphan_clusters() of the elements."""
     number = F.regexp_extract(H.heading_text(F.col("content")), r"^(\d+(?:\.\d+)+)", 1)
-    bad = orphan_clusters(d.elements).select("doc_id", F.col("level").alias("heading_level"), F.col("prefix").alias("__prefix"), F.lit(True).alias("__bad"))
-    e = d.elements.withColumn("__prefix", F.when(F.col("type") == "text", F.regexp_replace(number, r"\.\d+\z", "")))
+    bad = (orphan_clusters(d.elements) if clusters is None else clusters).select("doc_id", F.col("level").alias("heading_level"), F.col("prefix").alias("__prefix"), F.lit(True).alias("__bad"))
+    e = d.elements.withColumn("__prefix", F.when((F.col("type") == "text") & (F.col("heading_level") > 0), F.regexp_replace(number, r"\.\d+\z", "")))
     e = e.join(bad, ["doc_id", "heading_level", "__prefix"], "left").withColumn("heading_reason", F.when(F.col("__bad"), "orphan_cluster").otherwise(F.col("heading_reason"))).withColumn("heading_level", F.when(F.col("__bad"), F.lit(None).cast("int")).otherwise(F.col("heading_level")))
     return d.with_elements(e.select(*d.elements.columns))
 
 
+def _stored(d: DocSet) -> bool:
+    return hasattr(d.elements, "_stored_at")
+
+
+def _toc_step(d: DocSet) -> DocSet:
+    """toc_blocks(), unless written elements have no such header: then they stay as they are, and nothing is moved."""
+    return d if _stored(d) and d.elements.filter(_toc_header()).isEmpty() else toc_blocks(d)
+
+
+def _numbering_step(d: DocSet) -> DocSet:
+    """coherent_numbering(), unless nothing is coherent."""
+    if not _stored(d):
+        return coherent_numbering(d)
+    groups = materialise(coherent_groups(d.elements), "numbering")
+    return d if groups.isEmpty() else coherent_numbering(d, groups)
+
+
+def _orphan_step(d: DocSet) -> DocSet:
+    """demote_orphans(), unless there are none."""
+    if not _stored(d):
+        return demote_orphans(d)
+    clusters = materialise(orphan_clusters(d.elements), "orphans")
+    return d if clusters.isEmpty() else demote_orphans(d, clusters)
+
+
 def chapters(d: DocSet, ask: Callable[[list[dict]], dict[int, int]] | None = None) -> DocSet:
     """All heading rules in order; ask, if given, decides what they leave open.
 
     Rules look at a document's elements from several sides, so each one's result is written and read again: plans would else multiply.
     """
-    steps = [toc_blocks, detect_headings, coherent_numbering, *([lambda x: classify_fallback(x, ask)] if ask is not None else []), title_pairs, heading_shape, demote_orphans]
+    steps = [_toc_step, detect_headings, _numbering_step, *([lambda x: classify_fallback(x, ask)] if ask is not None else []), title_pairs, heading_shape, _orphan_step]
     given = d.elements
     for k, step in enumerate(steps):
         before, d = d.elements, step(d)
+        if d.elements is before:
+            continue
         if k < len(steps) - 1:
             d = d.with_elements(materialise(d.elements, f"headings-{k}", narrow=True))
             if before is not given:

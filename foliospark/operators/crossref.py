@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions.headings import caption_kind
+from foliospark.functions.let import computed
 from foliospark.functions.text import compact
 from foliospark.model import DocSet, flag
 from foliospark.operators.fold import fold
@@ -16,14 +17,15 @@ MAX_GAP = {"figure": 140.0, "table": 110.0}
 
 def caption_candidates(d: DocSet) -> DataFrame:
     """(doc_id, page_number, cap_id, cap_order, cap_box, kind, text) of texts that read like a caption and aren't headings."""
-    e = _numbered(d).filter((F.col("type") == "text") & (F.coalesce("heading_level", F.lit(0)) == 0) & ~flag("skip_render")).withColumn("text", compact(F.col("content")))
-    return e.withColumn("kind", caption_kind(F.col("text"))).filter("kind is not null").select("doc_id", "page_number", F.col("elem_id").alias("cap_id"), F.col("__order").alias("cap_order"), F.col("bbox").alias("cap_box"), "kind", "text")
+    return _numbered(d).filter("kind is not null").select("doc_id", "page_number", F.col("elem_id").alias("cap_id"), F.col("__order").alias("cap_order"), F.col("bbox").alias("cap_box"), "kind", "text")
 
 
 def _numbered(d: DocSet) -> DataFrame:
-    from pyspark.sql import Window
-
-    return d.elements.withColumn("__order", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("seq")))
+    """Elements by their order on the page, with kind and text of those that read like a caption; other texts don't move for it."""
+    e = computed(d.elements, text=F.when((F.col("type") == "text") & (F.coalesce("heading_level", F.lit(0)) == 0) & ~flag("skip_render"), compact(F.col("content"))))
+    e = computed(e, kind=caption_kind(F.col("text")))
+    e = e.select("doc_id", "page_number", "seq", "elem_id", "type", "bbox", "skipped", "kind", F.when(F.col("kind").isNotNull(), F.col("text")).alias("text"))
+    return e.withColumn("__order", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("seq")))
 
 
 def caption_scores(d: DocSet) -> DataFrame:

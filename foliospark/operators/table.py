@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.tables import is_degenerate, parse_table
 from foliospark.model import DocSet
 from foliospark.operators.fold import fold
+from foliospark.runtime import void_columns
 
 _SEPARATOR = re.compile(r"\|?[\s:|-]+(?:\|[\s:|-]+)+\|?")
 _NUMBER = re.compile(r"[\s—-]*\d{1,5}[\s—-]*")
@@ -89,6 +90,9 @@ def merge_split_tables(rows: list[dict]) -> list[dict]:
 
 def merge_cross_page(d: DocSet) -> DocSet:
     """merge_split_tables() over documents with tables on two pages at least; the rest doesn't become Python values."""
+    if "bbox" in void_columns(d.elements):
+        # No table is low on its page.
+        return d
     on, doc = F.when(F.col("type") == "table", F.col("page_number")), Window.partitionBy("doc_id")
     e = d.elements.join(d.pages.select("doc_id", "page_number", F.col("height").alias("__height")), ["doc_id", "page_number"], "left")
     # Documents are brought together once; both branches read that.

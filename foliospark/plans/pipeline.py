@@ -28,7 +28,7 @@ from foliospark.operators.page import classify_pages, confirm_fragments, drop_sm
 from foliospark.operators.reading_order import reading_order
 from foliospark.operators.table import refine_merged, tables
 from foliospark.operators.vlm_review import review
-from foliospark.runtime import discard, materialise
+from foliospark.runtime import discard, materialise, reads_once
 from foliospark.sinks.chapters import render_chapters, toc_index
 from foliospark.sinks.markdown import render
 from foliospark.sources.files import binary_docset
@@ -100,8 +100,8 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 #: Stages that need boxes: documents without any, as from DOCX, HTML and text, skip them.
 GEOMETRY = frozenset({"reading_order", "header_footer", "code_block", "content_value", "vlm_review"})
-#: Stages that pass over elements once; after each other one they are written and read again, or plans would multiply.
-ONCE = frozenset({"formula", "text_clean"})
+#: Stages that write tables of their own; what they are given is written first.
+WRITING = frozenset({"recognition", "chapter"})
 
 
 def prepared(d: DocSet) -> DocSet:
@@ -118,22 +118,32 @@ def parse(d: DocSet, config: Config | None = None, geometry: bool = True) -> Doc
     """All stages over all documents; geometry=False for documents without boxes."""
     c = config or Config()
     skip = c.disabled | (frozenset() if geometry else GEOMETRY)
-    before: list[DataFrame] = []
+    source, before = d.elements, []
+
+    def written(d: DocSet, name: str) -> DocSet:
+        e = d.elements if hasattr(d.elements, "_stored_at") else materialise(d.elements, f"elements-{name}", narrow=True)
+        # Nothing reads the stage before any more.
+        discard(*(x for x in before if x is not e))
+        before[:] = [e] if e is not source else []
+        return replace(d, elements=e)
+
+    # The stage whose elements aren't written yet. They are before a stage that reads them several times, or plans would multiply; one that passes over them once goes with it.
+    last: str | None = "recognition"
     for name, stage in STAGES:
         if name in skip:
             continue
-        given, pages, d = d, d.pages, stage(d, c)
-        if d is given and before:
-            # The stage had nothing to do, and what came before is written.
+        if last and name in WRITING:
+            d, last = written(d, last), None
+        given, d = d, stage(d, c)
+        if d is given:
             continue
-        if d.pages is not pages:
+        if last and not reads_once(d.elements, given.elements):
+            given = written(given, last)
+            d = stage(given, c)
+        if d.pages is not given.pages:
             d = replace(d, pages=materialise(d.pages, f"pages-{name}", narrow=True))
-        if name not in ONCE:
-            d = replace(d, elements=materialise(d.elements, f"elements-{name}", narrow=True))
-            # Nothing reads the stage before any more.
-            discard(*before)
-            before = [d.elements]
-    return d
+        last = name
+    return written(d, last) if last else d
 
 
 @dataclass

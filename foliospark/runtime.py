@@ -83,6 +83,12 @@ def void_columns(df: DataFrame) -> set[str]:
     return {c for c, i in zip(df.columns, _ids(plan.output()), strict=True) if i in void}
 
 
+def reads_once(df: DataFrame, given: DataFrame) -> bool:
+    """Whether df, made of given, goes over what given reads no more often than given itself does: what was worked out for given isn't worked out again."""
+    leaves = lambda x: x._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    return leaves(df) <= leaves(given)
+
+
 def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost executor costs nothing.
 
