@@ -132,7 +132,9 @@ def line_count(c: Column) -> Column:
 
 def truncate(c: Column, limit: int) -> Column:
     """compact(), cut to limit characters, the last then an ellipsis."""
-    return let(compact(c), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))))
+    cut = lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
+    # compact() of a text begins with that of its beginning; where this is too long already, the rest doesn't matter.
+    return let(compact(F.substring(c, 1, 4 * limit)), lambda head: F.when((F.length(head) > limit) | (F.length(c) <= 4 * limit), cut(head)).otherwise(let(compact(c), cut)))
 
 
 def has_cjk(c: Column) -> Column:

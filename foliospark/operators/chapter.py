@@ -190,20 +190,25 @@ def coherent_numbering(d: DocSet, groups: DataFrame | None = None) -> DocSet:
 def fallback_candidates(d: DocSet) -> DataFrame:
     """What rules leave open: short lines with one signal, or with none where fonts aren't known, and 80 characters of the texts around."""
     cand = heading_candidates(font_stats(d.elements)).select(F.col("doc_id").alias("__rd"), F.col("font").alias("__rf"), "heading_rank")
-    w = Window.partitionBy("doc_id", "page_number").orderBy("seq")
     said = F.when((F.col("type") == "text") & (F.length(py_strip(F.col("content"))) > 0), truncate(F.col("content"), 80))
-    e = d.elements.withColumn("prev_text", F.coalesce(F.last(said, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""))).withColumn("next_text", F.coalesce(F.first(said, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit("")))
-    e = e.withColumn("__font", F.struct("font.name", "font.size", "font.bold"))
-    e = e.join(cand, (F.col("doc_id") == F.col("__rd")) & F.col("__font").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf")
-    e = computed(e, __head=H.heading_text(F.col("content")))
     h = F.col("__head")
-    e = computed(e, __signal=H.numbering_signal(h), __num=H.numbering_level(h))
+    own = (F.col("type") == "text") & (F.coalesce("heading_level", F.lit(0)) == 0) & ~flag("code_block") & ~flag("toc_entry") & ~flag("retained_identity") & ~F.coalesce(F.col("heading_reason") == "not_apart", F.lit(False))
+    open_ = own & (F.length(h) > 0) & H.is_short(h) & ~H.is_body(h) & ~H.is_not_heading(h)
+    e = computed(d.elements, __head=H.heading_text(F.col("content")), __said=said)
+    e = computed(e, __open=F.coalesce(open_, F.lit(False)))
+    # Rows are moved with what others say of them, 80 characters at most, and with their own text if they are open.
+    only = lambda c: F.when(F.col("__open"), F.col(c)).alias(c)
+    e = e.select("doc_id", "page_number", "seq", "__open", "__said", *(only(c) for c in ("elem_id", "__head", "font", "level_hint")))
+    # A frame up to the page's end would be gone over again for each of its rows.
+    beside = lambda f: F.coalesce(F.expr(f"{f}(__said) ignore nulls over (partition by doc_id, page_number order by seq)"), F.lit(""))
+    e = e.withColumn("prev_text", beside("lag")).withColumn("next_text", beside("lead"))
+    e = computed(e.filter("__open"), __signal=H.numbering_signal(h), __num=H.numbering_level(h)).withColumn("__font", F.struct("font.name", "font.size", "font.bold"))
+    e = e.join(cand, (F.col("doc_id") == F.col("__rd")) & F.col("__font").eqNullSafe(F.col("__rf")), "left").drop("__rd", "__rf")
     num, signal, size = F.col("__num"), F.col("__signal"), F.coalesce(F.col("font.size"), F.lit(0.0))
     font = F.col("heading_rank").isNotNull()
-    open_ = (F.col("type") == "text") & (F.coalesce("heading_level", F.lit(0)) == 0) & ~flag("code_block") & ~flag("toc_entry") & ~flag("retained_identity") & (F.length(h) > 0) & ~H.is_not_heading(h) & H.is_short(h) & ~H.is_body(h) & ~F.coalesce(F.col("heading_reason") == "not_apart", F.lit(False))
     none = ~font & num.isNull() & (size <= 0) & (F.length(h) <= 30) & ~H.is_metadata(h) & ~H.ends_with_colon(h)
     one = (font & num.isNull()) | (~font & num.isNotNull() & ~((signal == "section_arabic_root") & (size > 0)))
-    return e.filter(open_ & (none | one)).select("doc_id", "page_number", "seq", "elem_id", h.alias("text"), "prev_text", "next_text", F.coalesce("heading_rank", F.lit(0)).alias("font_hint"), F.coalesce(num, F.lit(0)).alias("number_hint"), F.coalesce("level_hint", F.lit(0)).alias("ocr_hint"), none.alias("no_signal"))
+    return e.filter(none | one).select("doc_id", "page_number", "seq", "elem_id", h.alias("text"), "prev_text", "next_text", F.coalesce("heading_rank", F.lit(0)).alias("font_hint"), F.coalesce(num, F.lit(0)).alias("number_hint"), F.coalesce("level_hint", F.lit(0)).alias("ocr_hint"), none.alias("no_signal"))
 
 
 def classify_fallback(d: DocSet, ask: Callable[[list[dict]], dict[int, int]], batch: int = FALLBACK_BATCH, density: int = FALLBACK_DENSITY) -> DocSet:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foliospark.evaluate.runs import tool_scores
 from foliospark.functions import text as X
 from foliospark.functions.arrow import ROWS
-from foliospark.functions.text import WHITE, for_comparison, py_strip
+from foliospark.functions.text import WHITE, compact, for_comparison, py_strip, truncate
+from foliospark.operators.chapter import fallback_candidates
 from foliospark.operators.formula import CANDIDATES, correction_score, has_indicators
 from foliospark.operators.line_unwrap import usual_length
 from foliospark.operators.ocr import char_overlap
@@ -103,3 +104,33 @@ def test_cleaning_equals_patterns(spark):
     df = spark.createDataFrame([(t,) for t in texts], "c string")
     for r in df.select(X.clean(F.col("c")).alias("a"), plain(F.col("c")).alias("b")).collect():
         assert r.a == r.b
+
+
+def test_context_moves_no_long_texts_and_goes_over_a_page_once(spark):
+    page = lambda n: text_docset(spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.when(k % 4 == 0, " ").when(k % 4 == 1, F.concat(F.lit("Title "), k.cast("string"))).otherwise(F.repeat(F.lit("long text "), 20))), "\n").alias("text")))
+    d = page(12)
+    got = {int(r.seq): (r.prev_text, r.next_text) for r in fallback_candidates(d).collect()}
+    long = ("long text " * 20)[:79] + "…"
+    assert got == {0: ("", long), 4: (long, long), 8: (long, long)}
+    plan = fallback_candidates(d)._jdf.queryExecution().optimizedPlan()
+    windows = []
+
+    def walk(node):
+        if "Window" in node.nodeName():
+            windows.append(node.children().apply(0).output().mkString(","))
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    # Font statistics have windows of their own.
+    assert any("__said" in x for x in windows) and not any("__said" in x and "content#" in x for x in windows)
+    one = lambda n: fallback_candidates(d.with_elements(page(n).elements.withColumn("page_number", F.lit(1))))
+    assert seconds(one(32000)) < 10 * seconds(one(4000))
+
+
+def test_cutting_looks_at_the_beginning(spark):
+    texts = [None, "", " ", "\n" * 500 + "a", "x" * 80, "x" * 81, " a\n\n b " * 9, "a \r\n" * 200, " " * 319 + "ab", "b" * 79 + " " * 300 + "c", "c" * 70 + " " * 245 + "\r\nddd" + "e" * 400, "\x1c" * 400 + "z"]
+    flat = compact(F.col("c"))
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for r in df.select(truncate(F.col("c"), 80).alias("a"), F.when(F.length(flat) <= 80, flat).otherwise(F.concat(F.substring(flat, 1, 79), F.lit("…"))).alias("b")).collect():
+        assert r.a == r.b
